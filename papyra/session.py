@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +14,30 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 << 20
 
 
+ROOT = Path(__file__).resolve().parent.parent
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable on the executors, once per application.
+
+    Nothing is done where PYTHONPATH already names its folder, as clusters that install it do.
+    """
+    if str(ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    sc = spark.sparkContext
+    if getattr(sc, "_papyra_shipped", False):
+        return
+    with tempfile.TemporaryDirectory() as d:
+        packed = shutil.make_archive(f"{d}/papyra-package", "zip", ROOT, "papyra")
+        sc.addPyFile(packed)
+    sc._papyra_shipped = True
+
+
 def build_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own."""
+    paths = os.environ.get("PYTHONPATH", "")
+    if str(ROOT) not in paths.split(os.pathsep):
+        os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [str(ROOT), paths]))  # the workers inherit it
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("papyra")
