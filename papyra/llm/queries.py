@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm import looks
+from papyra.llm import language, looks
+from papyra.llm.leak import find_leaks
+from papyra.llm.mixing import mix
+from papyra.llm.splitting import split_texts
 from papyra.session import spread, table
 
 
@@ -34,5 +37,58 @@ def p1_consistent(spark: SparkSession, sf: str) -> DataFrame:
     return looks.with_consistent(spread(both), "text", "form").select("field_name", "id", "form")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_consistent)}
+_TRANSLATION = ["path", "paragraph_id", "source_hash"]
+
+
+def p6_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Language, confidence and mixture of every translation, beside the declared language."""
+    rows = table(spark, sf, "translations").select(*_TRANSLATION, "translation", "lang")
+    rows = rows.withColumn("declared", language.declared(F.col("lang")))
+    machines = language.train(rows, "translation", "lang")
+    return language.label_texts(rows.select(*_TRANSLATION, "declared", "translation"), [*_TRANSLATION, "declared"], "translation", machines)
+
+
+def p6_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Every segment of every translation with its language and confidence."""
+    rows = table(spark, sf, "translations").select(*_TRANSLATION, "translation", "lang")
+    return language.label_segments(rows, _TRANSLATION, "translation", language.train(rows, "translation", "lang"))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Translations whose declared language is missing, wrong or one of several; a row for each language in the text."""
+    labels = p6_labels(spark, sf).where("main_lang is not null and (declared is null or mixed or declared <> main_lang)")
+    return labels.select(*_TRANSLATION, F.explode("langs").alias("lang")).distinct()
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that contain a full sentence of a test item, with the item."""
+    return find_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"), "doc_id", "text", "item_id", "text")
+
+
+def p7_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaked test items with the number of documents that contain them."""
+    return p7_found(spark, sf).groupBy("item_id").agg(F.count("*").alias("documents"))
+
+
+def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """The mix: one row for each use of a document."""
+    return mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"), "doc_id", "text")[0]
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Target and actual token share of each source of the mix."""
+    return mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"), "doc_id", "text")[1]
+
+
+def p9_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """The pieces of every document longer than 2,000 tokens."""
+    return split_texts(table(spark, sf, "documents"), "doc_id", "text")
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that had to be split."""
+    return split_texts(table(spark, sf, "documents"), "doc_id", "text", with_text=False).select("doc_id").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p6_found, p6_labels, p6_segments, p7_found, p7_items, p8_mix, p8_shares, p9_found, p9_pieces)}
 SQL: dict[str, str] = {}
