@@ -5,11 +5,12 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from papyra.llm.glyphs import consistent
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def consistent_text(texts: pa.Array) -> pa.Array:
     """The consistent form of a text column (see ``glyphs``); null stays null."""
     return consistent(texts)

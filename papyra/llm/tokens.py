@@ -8,6 +8,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 #: Default vocabulary file: byte-level BPE ranks, one "base64 rank" line each.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -28,7 +29,7 @@ def encoding(path: str = TOKENIZER):
 def token_counter(path: str = TOKENIZER):
     """An Arrow UDF text -> number of tokens; null and empty texts have 0."""
 
-    @F.arrow_udf("int")
+    @F.arrow_udf(IntegerType())
     def count(texts: pa.Array) -> pa.Array:
         e = encoding(path)
         return pa.array([len(e.encode_ordinary(t)) if t else 0 for t in texts.to_pylist()], pa.int32())
