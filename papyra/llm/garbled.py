@@ -126,7 +126,7 @@ def _needs(e: str, d: str) -> frozenset[str]:
     return frozenset(chr(o) for o, b in _bytes_of(d).items() if b >= least)
 
 
-_LONG = re.compile(r"[\x80-ſƒˆ˜ -™]{4,}|[^\x00-\x7f一-鿿　-〿＀-￯]{4,}")
+_LONG = re.compile(r"[^\x00-\x7f　-ヿ㐀-鿿＀-￯]{4,}")
 
 
 def proposals(text: str) -> dict[int, tuple[str, int]]:

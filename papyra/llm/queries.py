@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm import language, looks
+from papyra.llm import garbled, language, looks, scanned
 from papyra.llm.leak import find_leaks
 from papyra.llm.mixing import mix
 from papyra.llm.splitting import split_texts
@@ -37,6 +37,38 @@ def p1_consistent(spark: SparkSession, sf: str) -> DataFrame:
     return looks.with_consistent(spread(both), "text", "form").select("field_name", "id", "form")
 
 
+def p3_posteriors(spark: SparkSession, sf: str) -> DataFrame:
+    """The most probable encoding chain of every block that some chain explains; null where clean is more probable."""
+    blocks = table(spark, sf, "source_blocks").select("id", "paper_id", "text")
+    return garbled.posteriors(blocks, "id", "text", ["paper_id"]).withColumnRenamed("id", "block_id")
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks decoded, wholly or in part, with a wrong encoding."""
+    return p3_posteriors(spark, sf).where("chain is not null").select("block_id")
+
+
+def p3_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    """Garbled blocks with the text as it stands and as restored by their chain."""
+    found = p3_posteriors(spark, sf).where("chain is not null").select("block_id", "chain")
+    blocks = table(spark, sf, "source_blocks").select(F.col("id").alias("block_id"), "text").distinct()
+    return blocks.join(found, "block_id").withColumn("restored", garbled.repaired("text", "chain"))
+
+
+def p4_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    """Every block that is no header, and every stem: repaired text and the traces found in it."""
+    blocks = table(spark, sf, "source_blocks")
+    body = blocks.where("role is null or role <> 'header'").select(F.lit("source_blocks.text").alias("field_name"), F.col("id").alias("record_id"), "paper_id", "text")
+    stems = table(spark, sf, "questions").select(F.lit("questions.stem").alias("field_name"), F.col("id").alias("record_id"), "paper_id", F.col("stem").alias("text"))
+    headers = blocks.where("role = 'header'").select("text")
+    return scanned.read_scans(body.unionByName(stems), ["field_name", "record_id"], "text", "paper_id", headers)
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Records with a word split across lines, misread characters, or page furniture within the text."""
+    return p4_repaired(spark, sf).where("furniture or split_word or misread").select("field_name", "record_id").distinct()
+
+
 _TRANSLATION = ["path", "paragraph_id", "source_hash"]
 
 
@@ -90,5 +122,5 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return split_texts(table(spark, sf, "documents"), "doc_id", "text", with_text=False).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p6_found, p6_labels, p6_segments, p7_found, p7_items, p8_mix, p8_shares, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p3_found, p3_posteriors, p3_repaired, p4_found, p4_repaired, p6_found, p6_labels, p6_segments, p7_found, p7_items, p8_mix, p8_shares, p9_found, p9_pieces)}
 SQL: dict[str, str] = {}
