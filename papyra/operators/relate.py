@@ -91,9 +91,9 @@ def all_requested(df: DataFrame, key: str, wanted: list[str]) -> DataFrame:
 
 def fan_out(df: DataFrame, keys: list[str], order: Column, id_col: str) -> DataFrame:
     """Every row with the id of the first row of equal keys: work is done once and read by all."""
-    first = df.groupBy(*keys).agg(F.min_by(id_col, order).alias("representative"))
-    on = reduce(lambda a, b: a & b, [df[k].eqNullSafe(first[k]) for k in keys])
-    return df.join(first, on).select(*[df[c] for c in df.columns], "representative")
+    first = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.min_by(id_col, order).alias("representative"))
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return df.join(first, on).select(*df.columns, "representative")
 
 
 def resolved_alias(df: DataFrame, id_col: str, alias: str, value: str, same: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, value: str, tolerance: float = 0) -> DataFrame:
@@ -78,7 +79,7 @@ def line_clusters(df: DataFrame, by: list[str], y: str, order: list[str], tolera
 
     Depends on earlier choices, so each page runs as one group; a page's spans are few.
     """
-    schema = df.schema.add(out, "int")
+    schema = StructType([*df.schema.fields, StructField(out, IntegerType())])
 
     def run(page: pd.DataFrame) -> pd.DataFrame:
         page = page.sort_values(order, kind="stable")
@@ -100,7 +101,7 @@ def packed_batches(df: DataFrame, by: list[str], order: list[str], size: str, al
 
     Greedy, so each group is one pass; it streams, holding one running total.
     """
-    schema = df.schema.add(out, "int")
+    schema = StructType([*df.schema.fields, StructField(out, IntegerType())])
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         batch, n, total, closed, out_ = -1, 0, 0, True, []

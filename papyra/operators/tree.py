@@ -44,8 +44,7 @@ def wholly_owned(links: DataFrame, target: str, owner: str, hidden: DataFrame, h
 def order_violations(toc: DataFrame, by: list[str], key: str, parent: str, position: str) -> DataFrame:
     """Entries whose parent does not exist in their group or does not stand before them."""
     p = toc.select(*by, F.col(key).alias("_k"), F.col(position).alias("_at"))
-    on = [toc[b] == p[b] for b in by] + [toc[parent] == p["_k"]]
-    joined = toc.where(F.col(parent).isNotNull()).join(p, on, "left").select(*[toc[c] for c in toc.columns], "_at")
+    joined = toc.where(F.col(parent).isNotNull()).withColumn("_k", F.col(parent)).join(p, [*by, "_k"], "left").select(*toc.columns, "_at")
     return joined.where(F.col("_at").isNull() | (F.col("_at") >= F.col(position))).drop("_at")
 
 
