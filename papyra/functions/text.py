@@ -62,7 +62,7 @@ def utf16_units(c: Column) -> Column:
 
 def paragraphs(c: Column) -> Column:
     """The non-blank paragraphs between blank lines, trimmed."""
-    return F.filter(F.transform(F.split(c, r"\n\s*\n"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(c, r"\n\s*\n"), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def suspicious(c: Column) -> Column:
