@@ -36,7 +36,7 @@ _TOKENS = (
     ("w", r"[A-Za-zÀ-ɏ]+(?:'[A-Za-z]+)*|\d+|[^;；|/、，,\t\n\r。！？!?  　\"“「『'(（\[$\d①-⑳A-Za-zÀ-ɏ.]+|(?s:.)"),
 )
 TOKEN = "|".join(f"(?:{p})" for _, p in _TOKENS)
-#: Enumerators keep their number: 1 is U+E001, 2 is U+E002, ...
+#: Enumerators keep their number: 1 is U+E001, 2 is U+E002, ...; those that end in a delimiter ("1、") are 0x100 higher.
 _ENUM = 0xE000
 
 
@@ -44,7 +44,7 @@ def _symbol(t: Column) -> Column:
     """One symbol for a token: its class, the delimiter itself, or an enumerator's number."""
     whole = lambda p: t.rlike(rf"\A(?:{p})\z")
     number = F.when(t.rlike(rf"\A[{_CIRCLED}]\z"), F.ascii(t) - 0x2460 + 1).otherwise(F.regexp_extract(t, r"\d+", 0).cast("int"))
-    out = F.when(whole(_TOKENS[0][1]), "Q").when(whole(f"{_TOKENS[1][1]}|{_TOKENS[4][1]}"), F.decode(F.unhex(F.lpad(F.hex(F.lit(_ENUM) + number), 4, "0")), "UTF-16BE"))
+    out = F.when(whole(_TOKENS[0][1]), "Q").when(whole(f"{_TOKENS[1][1]}|{_TOKENS[4][1]}"), F.decode(F.unhex(F.lpad(F.hex(F.lit(_ENUM) + number + F.when(F.endswith(t, F.lit("、")), 0x100).otherwise(0)), 4, "0")), "UTF-16BE"))
     for kind, pattern in (_TOKENS[2], _TOKENS[3]):
         out = out.when(whole(pattern), kind)
     out = out.when(t == "||", "|").when(t.rlike(rf"\A[{re.escape(DELIMITERS)}]\z"), t)
@@ -66,15 +66,16 @@ def resolve(skeleton: str) -> list[tuple[int, int]]:
     s = skeleton
     if "T" in s:
         return []
-    enums = [i for i, c in enumerate(s) if _ENUM < ord(c) <= _ENUM + 99]
-    numbers = [ord(s[i]) - _ENUM for i in enums]
+    enums = [i for i, c in enumerate(s) if _ENUM <= ord(c) < _ENUM + 0x200]
+    numbers = [ord(s[i]) - _ENUM & 0xFF for i in enums]
     content = lambda a, b: any(c not in DELIMITERS and c != " " for c in s[a:b])
     run = bool(enums) and numbers == list(range(1, len(numbers) + 1)) and all(content(i + 1, j) for i, j in zip(enums, [*enums[1:], len(s)], strict=True))
     numbered = set(enums) if run else set()
     out, start = [], 0
     for i, c in enumerate(s + ";"):
-        if c in DELIMITERS or i in numbered:
-            a, b = start, i
+        number_then_delimiter = not run and _ENUM + 0x100 <= ord(c) < _ENUM + 0x200
+        if c in DELIMITERS or i in numbered or number_then_delimiter:
+            a, b = start, i + number_then_delimiter
             while a < b and s[a] == " ":
                 a += 1
             while b > a and s[b - 1] == " ":
@@ -111,5 +112,5 @@ def split_packed(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
         cut_up.join(rules, "_skeleton")
         .select(*keys, "_tokens", F.posexplode("_ranges").alias("_p", "_r"))
         .select(*keys, (F.col("_p") + 1).cast("int").alias("pos"), value.alias("value"))
-        .withColumn("value", F.when(bare, undone).otherwise(F.col("value")))
+        .withColumn("value", F.when(bare, undone).otherwise(F.regexp_replace("value", r"、\z", "")))
     )

@@ -67,7 +67,9 @@ def nested(nodes: DataFrame, key: str, parent: str, label: str, levels: int) ->
             level = level.join(below, [key, "root"], "left")
         else:
             level = level.withColumn("_kids", F.array().cast("array<string>"))
-        body = F.to_json(F.struct(F.col(key).alias("id"), F.col(label).alias("label"), F.coalesce("_kids", F.array().cast("array<string>")).alias("children")))
+        quoted = lambda c: F.coalesce(F.regexp_extract(F.to_json(F.array(F.col(c).cast("string"))), r"(?s)\A\[(.*)\]\z", 1), F.lit("null"))
+        kids = F.array_join(F.coalesce("_kids", F.array().cast("array<string>")), ",")
+        body = F.concat(F.lit('{"id":'), quoted(key), F.lit(',"label":'), quoted(label), F.lit(',"children":['), kids, F.lit("]}"))
         if d == 0:
             return level.select(key, body.alias("tree"))
         below = level.groupBy(F.col(parent).alias("_pk"), "root").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), body.alias("b")))), lambda x: x["b"]).alias("_kids")).withColumnRenamed("_pk", key)

@@ -39,10 +39,10 @@ def _put(spark: SparkSession, path: str, text: str) -> None:
     out = fs.create(beside, True)
     out.write(bytearray(text.encode()))
     out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    if not fs.rename(beside, p):
-        raise OSError(f"cannot switch {path}")
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    over = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(beside), fs.makeQualified(p), over)
 
 
 def current(spark: SparkSession, root: str) -> str | None:
