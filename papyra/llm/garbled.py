@@ -284,17 +284,18 @@ def posteriors(df: DataFrame, key: str, text: str, source: list[str], rounds: in
             out = pd.DataFrame({c: pd.Series(b[c].iloc[at].tolist(), dtype=object) for c in ["_k", *by]})
             yield pd.concat([out, pd.DataFrame([x for x in e if x is not None], columns=columns, dtype=float)], axis=1)
 
-    seen = cut(marks.mapInPandas(run, kind + ", " + ", ".join(f"{c} double" for c in columns)).dropDuplicates(["_k"]))
+    seen = cut(marks.mapInPandas(run, kind + ", " + ", ".join(f"{c} double" for c in columns)).dropDuplicates(["_k"]).withColumn("_m", F.greatest(F.lit(0.0), *columns)))
     sizes = rows.groupBy(*by).agg(F.count("*").alias("_n"))
     n_rows = rows.count()
     share = {c: 0.01 / len(columns) for c in columns}
     local = None
     for _ in range(rounds):
+        # Weights relative to the largest log-likelihood, so that none overflows and none ties by being cut off.
         if local is None:
-            odds = seen.withColumns({f"_w{i}": F.exp(F.least(F.col(c), F.lit(300.0))) * share[c] / 0.99 for i, c in enumerate(columns)})
+            odds = seen.withColumns({f"_w{i}": F.exp(F.col(c) - F.col("_m")) * share[c] for i, c in enumerate(columns)}).withColumn("_w", F.exp(-F.col("_m")) * 0.99)
         else:
-            odds = seen.join(local, by).withColumns({f"_w{i}": F.exp(F.least(F.col(c), F.lit(300.0))) * F.col(f"_p{i}") / F.col("_p") for i, c in enumerate(columns)})
-        total = sum((F.col(f"_w{i}") for i in range(len(columns))), F.lit(1.0))
+            odds = seen.join(local, by).withColumns({f"_w{i}": F.exp(F.col(c) - F.col("_m")) * F.col(f"_p{i}") for i, c in enumerate(columns)}).withColumn("_w", F.exp(-F.col("_m")) * F.col("_p"))
+        total = sum((F.col(f"_w{i}") for i in range(len(columns))), F.col("_w"))
         odds = odds.withColumn("_z", total)
         sums = odds.groupBy(*by).agg(*[F.sum(F.col(f"_w{i}") / F.col("_z")).alias(f"_r{i}") for i in range(len(columns))])
         whole = sums.agg(*[F.sum(f"_r{i}").alias(f"_r{i}") for i in range(len(columns))]).first()

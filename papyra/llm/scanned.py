@@ -54,7 +54,7 @@ _HAN = re.compile(r"[一-鿿]")
 _NUMBER_LINE = re.compile(
     r"\s*(?:[-—–~·*\[(（【<|]*\s*\d{1,4}\s*[-—–~·*\])）】>|]*|\d{1,4}\s*[/／]\s*\d{1,4}|(?:p|pp|page)\.?\s*\d{1,4}(?:\s*(?:of|/)\s*\d{1,4})?|"
     r"第?\s*\d{1,4}\s*页\s*[（(,，/]?\s*(?:共\s*\d{1,4}\s*页)?\s*[)）]?)\s*", re.IGNORECASE)
-_CODE = re.compile(r"[{}]\s*$|;\s*(?:/\*.*\*/)?\s*$|^\s*(?:#include|def |return\b|else\b|//|/\*)|^\s{4}")
+_CODE = re.compile(r"[{}]\s*$|^\s*(?:for|while|if|switch)\s*\(.*\)\s*\{?\s*$|;\s*(?:/\*.*\*/)?\s*$|^\s*(?:#include|def |return\b|else\b|//|/\*)|^\s{4}")
 _LIST = re.compile(r"\s*(?:[(（]\d{1,2}[)）]|\d{1,2}[.)、．]|[①-⑳]|[A-H][.．、)]|[-•*]\s)")
 _SILENT = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 _END = re.compile(r"[.。！？!?；;：:][”’\"')）」』]*\s*$")
