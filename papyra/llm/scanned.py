@@ -48,6 +48,8 @@ TRAIN_TEXTS = 1500
 #: Counters of the sketch (a power of two); its size does not grow with the data.
 SKETCH = 1 << 20
 DIMS = 1 << 18
+#: Shares of papers that tell how much a line recurs; shares, so that they mean the same at every size.
+SEEN = (0.002, 0.01, 0.05)
 _WORD = re.compile(r"[A-Za-zÀ-ÿ0-9|]+")
 _WHOLE_WORD = re.compile(r"(?<![^\W\d_一-鿿])[A-Za-z0-9|]+(?![^\W\d_一-鿿])")  # not part of a word that holds other letters
 _HAN = re.compile(r"[一-鿿]")
@@ -119,13 +121,13 @@ def count_slots(rows: DataFrame) -> Counts:
 
 
 def recurring_lines(rows: DataFrame) -> np.ndarray:
-    """By slot: in how many papers a line (digits masked) stands within a text of several lines."""
+    """By slot: in which share of the papers a line (digits masked) stands within a text of several lines; 0 under three papers."""
     lines = rows.where(F.col("_text").contains("\n")).select("_group", F.explode(F.split("_text", r"\r?\n")).alias("_l"))
     masked = F.regexp_replace(F.trim(F.regexp_replace("_l", r"\s+", " ")), r"\d+", "0")
     slots = lines.select("_group", F.crc32(F.encode(masked, "UTF-8")).bitwiseAND(SKETCH - 1).alias("slot")).distinct()
     got = slots.groupBy("slot").agg(F.count("*").alias("n")).where("n > 2").toArrow()
-    out = np.zeros(SKETCH, np.int32)
-    out[got["slot"].to_numpy()] = got["n"].to_numpy()
+    out = np.zeros(SKETCH, np.float32)
+    out[got["slot"].to_numpy()] = got["n"].to_numpy() / max(1, rows.select("_group").distinct().count())
     return out
 
 
@@ -161,13 +163,13 @@ class Perceptron:
 # Features of a line: where it stands on the page and what it is like.
 
 
-def line_features(lines: list[str], i: int, recurs: int) -> list[str]:
+def line_features(lines: list[str], i: int, recurs: float) -> list[str]:
     s, n = lines[i].strip(), len(lines)
     others = sorted(len(x.strip()) for j, x in enumerate(lines) if j != i and x.strip()) or [1]
     width = others[len(others) // 2]
     before = next((lines[j].rstrip() for j in range(i - 1, -1, -1) if lines[j].strip()), "")
     after = next((lines[j].strip() for j in range(i + 1, n) if lines[j].strip()), "")
-    number, seen = bool(_NUMBER_LINE.fullmatch(s)), min(3, recurs.bit_length() // 2)
+    number, seen = bool(_NUMBER_LINE.fullmatch(s)), sum(recurs >= x for x in SEEN)
     place = "first" if not before else "last" if not after else "inner"
     mid = bool(before) and not _END.search(before)
     letters = [c for c in s if c.isalpha()]
@@ -257,10 +259,14 @@ class Editor:
         out = w
         if not w.isdigit() and sum(c.isalpha() for c in w) > 1:
             now, reached = self.counts.word(w), {w}
+            # A misreading is rarer than its word by a factor that holds at every size; short words lie close to one another.
+            need = 4 if len(w) > 4 or any(c.isdigit() for c in w) else 7
+            if len(w) < 4 and w.isalpha():
+                now = max(now, 2)
             for _ in range(3):  # fewest edits first
                 steps = {w_[:a] + p + w_[z:]: (w_, a, z, p) for w_ in sorted(reached) for a, z, p, _ in word_candidates(w_)}
                 known = sorted(((self.counts.word(x), x) for x in steps), reverse=True)
-                good = [x for n, x in known if n >= max(3, now + 2) and self.edit.score(edit_features(*steps[x], self.counts)) > 0]
+                good = [x for n, x in known if n >= (3 if now <= 1 else now + need) and self.edit.score(edit_features(*steps[x], self.counts)) > 0]
                 if good:
                     out = good[0]
                     break
@@ -295,7 +301,10 @@ class Editor:
                 if not x.strip():
                     marks.append(None)
                     continue
-                marks.append(self.line.score(line_features(lines, i, int(self.recurs[_slot(_mask(x))]))) > 0)
+                if i and x.strip()[0].islower() and x.strip()[0].isascii() and not _NUMBER_LINE.fullmatch(x.strip()):
+                    marks.append(False)  # running on from the line before
+                    continue
+                marks.append(self.line.score(line_features(lines, i, float(self.recurs[_slot(_mask(x))]))) > 0)
             furniture = any(marks) and not all(m for m in marks if m is not None)
             if furniture:  # a blank line beside furniture belongs to it
                 keep = [x for i, x in enumerate(lines) if not marks[i] and not (marks[i] is None and (i and marks[i - 1] or i + 1 < len(lines) and marks[i + 1]))]
@@ -428,7 +437,7 @@ def fit(texts: list[str], headers: list[str], counts: Counts, recurs: np.ndarray
         if len(lines) > 1:
             for i, (x, kind) in enumerate(marked):
                 if x.strip():
-                    line.append((line_features(lines, i, rng.choice([3, 12, 60]) if kind == "furniture" else int(recurs[_slot(_mask(x))])), kind == "furniture"))
+                    line.append((line_features(lines, i, rng.choice([0.004, 0.02, 0.1]) if kind == "furniture" else float(recurs[_slot(_mask(x))])), kind == "furniture"))
         kept = [x for x, kind in marked if kind == "text" and x.strip()]
         for _, i in breaks:
             if i + 1 < len(kept):
@@ -457,7 +466,7 @@ def fit(texts: list[str], headers: list[str], counts: Counts, recurs: np.ndarray
             for j in range(1, len(block)):
                 join.append((join_features(block[j - 1], block[j], counts, block), False))
             for j in range(len(block)):
-                line.append((line_features(block, j, rng.choice([0, 5, 60])), False))
+                line.append((line_features(block, j, rng.choice([0.0, 0.004, 0.1])), False))
     out.line.fit(line)
     out.join.fit(join)
     out.edit.fit(edit, epochs=3)
