@@ -51,6 +51,16 @@ def _symbol(t: Column) -> Column:
     return out.when(t.rlike(rf"\A[{TERMINATORS}.]\z"), "T").when(t.rlike(r"\A[  　]+\z"), " ").otherwise("w")
 
 
+def _maybe_list(text: Column) -> Column:
+    """False only where the skeleton would show prose or a single value: no delimiter, or a sentence end outside quotes, brackets and enumerators.
+
+    Texts with a straight single quote, which may be an apostrophe, are left to the skeleton.
+    """
+    bare = F.regexp_replace(text, r"\"[^\"]*+\"|“[^”]*+”|「[^」]*+」|『[^』]*+』|\([^()]*+\)|（[^（）]*+）|\[[^\[\]]*+\]|\$[^$]*+\$|\d{1,2}[.．](?![\d.．])", "")
+    prose = bare.rlike(rf"[{TERMINATORS}]|\.(?=\s|\z)") & ~F.contains(text, F.lit("'"))
+    return text.rlike(rf"[{re.escape(DELIMITERS)}{_CIRCLED}()（）]") & ~prose
+
+
 def skeletons(df: DataFrame, text: str) -> DataFrame:
     """Add ``_tokens`` (array) and ``_skeleton`` (one symbol a token); null text gives nulls."""
     tokens = F.regexp_extract_all(F.trim(F.col(text)), F.lit(TOKEN), F.lit(0))
@@ -101,7 +111,7 @@ def split_packed(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     with the same keys and text count once. Other columns of ``df`` are ignored, whatever their
     names. Empty input gives an empty table.
     """
-    rows = df.select(*keys, F.col(text).alias("_text")).where(F.col("_text").rlike(r"\S")).distinct()
+    rows = df.select(*keys, F.col(text).alias("_text")).where(F.col("_text").rlike(r"\S") & _maybe_list(F.trim("_text"))).distinct()
     cut_up = skeletons(rows, "_text").where(F.length("_skeleton") > 2)
     rules = cut_up.select("_skeleton").distinct().mapInPandas(_rules, "_skeleton string, _ranges array<struct<a:int,b:int>>")
     rules = maybe_broadcast(rules.persist(), 400)
