@@ -41,6 +41,7 @@ MISREAD_HAN = dict(
         "风>凤 凤>风 汁>计 计>汁 训>驯 抗>坑 坑>抗 找>我 我>找 末>木 来>末 束>東 束>来 苦>若 若>苦 茶>荼 幕>墓 墓>幕 慕>幕 暮>幕 密>蜜 蜜>密"
     ).split()
 )
+_DOUBTFUL_HAN = re.compile("[" + "".join(MISREAD_HAN) + "]")
 # Characters printed for a hyphen at a line end.
 HYPHENS = "-¬‐‑­"
 #: Clean texts taken for training, at most.
@@ -331,14 +332,17 @@ class Editor:
             if len(lines) > 1 or not text:
                 return out, furniture, split, False
         out = _SILENT.sub("", out)  # zero-width characters would hide a word's neighbours
-        fixed = _WHOLE_WORD.sub(lambda m: self._word(m.group()), self._outside(out))
-        misread = fixed != self._outside(out)
-        fixed = self._inside(out, fixed)
-        if _HAN.search(fixed):
-            padded = "  " + fixed + "  "
-            chars = [self._ideograph(padded[i : i + 5]) if c in MISREAD_HAN else c for i, c in enumerate(fixed)]
-            again = "".join(chars)
-            misread, fixed = misread or again != fixed, again
+        fixed, misread = out, False
+        words = self._outside(out)
+        if any(self._word(w) != w for w in set(_WHOLE_WORD.findall(words))):
+            misread, fixed = True, self._inside(out, _WHOLE_WORD.sub(lambda m: self._word(m.group()), words))
+        padded = "  " + fixed + "  "
+        edits = [(m.start(), c) for m in _DOUBTFUL_HAN.finditer(fixed) if (c := self._ideograph(padded[m.start() : m.start() + 5])) != m.group()]
+        if edits:
+            chars = list(fixed)
+            for i, c in edits:
+                chars[i] = c
+            misread, fixed = True, "".join(chars)
         return fixed, furniture, split, misread
 
     # Formulas between dollar signs are not words.
