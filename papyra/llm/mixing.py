@@ -42,8 +42,8 @@ def plan(sizes: dict[str, int], targets: list[tuple[str, float, int]], total: in
 def mix(docs: DataFrame, targets: DataFrame, key: str, text: str, source: str = "source", seed: int = 42, total: int | None = None, path: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
     """(mix, report).
 
-    mix: (key, source, n_tokens, copy) with one row for each use of a document, copy counting from 1
-    and never above the source's max_repeats. report: (source, target_share, max_repeats, documents,
+    mix: (key, source, n_tokens, copies) with one row for each eligible document: how often it is used,
+    0 if it is left out, never above the source's max_repeats; ``uses`` emits the copies. report: (source, target_share, max_repeats, documents,
     tokens, actual_share, copies_per_document) with one row for each target, also those that no
     document serves.
 
@@ -70,8 +70,9 @@ def mix(docs: DataFrame, targets: DataFrame, key: str, text: str, source: str =
     offset = F.pmod(F.xxhash64(F.lit(seed), F.col("_s")), F.lit(1 << 30)) / float(1 << 30)
     upto = lambda i: F.floor(i * F.col("_r") + offset)
     copies = upto(F.col("_before") + F.col("_i")) - upto(F.col("_before") + F.col("_i") - 1)
-    used = ranked.withColumn("_copies", copies.cast("int")).where("_copies > 0")
-    out = used.select(F.col("_k").alias(key), F.col("_s").alias("source"), F.col("_n").alias("n_tokens"), F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy"))
+    decided = ranked.withColumn("_copies", copies.cast("int"))
+    used = decided.where("_copies > 0")
+    out = decided.select(F.col("_k").alias(key), F.col("_s").alias("source"), F.col("_n").alias("n_tokens"), F.col("_copies").alias("copies"))
     per = used.groupBy(F.col("_s").alias("source")).agg(F.count("*").alias("documents"), F.sum(F.col("_n").cast("long") * F.col("_copies")).alias("tokens"))
     report = (
         want.join(per, "source", "left").join(rate.withColumnRenamed("_s", "source").withColumnRenamed("_r", "copies_per_document"), "source", "left")
@@ -79,3 +80,9 @@ def mix(docs: DataFrame, targets: DataFrame, key: str, text: str, source: str =
         .withColumn("actual_share", F.try_divide(F.col("tokens"), F.sum("tokens").over(Window.partitionBy())))
     )
     return out, report
+
+
+def uses(mixed: DataFrame) -> DataFrame:
+    """One row for each use of a document of a mix, ``copy`` counting from 1."""
+    rest = [c for c in mixed.columns if c != "copies"]
+    return mixed.where("copies > 0").select(*rest, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from papyra.llm import garbled, language, looks, scanned
 from papyra.llm.leak import find_leaks
-from papyra.llm.mixing import mix
+from papyra.llm.mixing import mix, uses
 from papyra.llm.splitting import split_texts
 from papyra.session import spread, table
 
@@ -103,10 +103,15 @@ def p7_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
-    """The mix: one row for each use of a document."""
+    """Every document of a targeted source with the number of copies it has in the mix, 0 if none."""
     return mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"), "doc_id", "text")[0]
 
 
+def p8_uses(spark: SparkSession, sf: str) -> DataFrame:
+    """The mix itself: one row for each use of a document."""
+    return uses(p8_mix(spark, sf))
+
+
 def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     """Target and actual token share of each source of the mix."""
     return mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"), "doc_id", "text")[1]
@@ -122,5 +127,5 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return split_texts(table(spark, sf, "documents"), "doc_id", "text", with_text=False).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p3_found, p3_posteriors, p3_repaired, p4_found, p4_repaired, p6_found, p6_labels, p6_segments, p7_found, p7_items, p8_mix, p8_shares, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p3_found, p3_posteriors, p3_repaired, p4_found, p4_repaired, p6_found, p6_labels, p6_segments, p7_found, p7_items, p8_mix, p8_uses, p8_shares, p9_found, p9_pieces)}
 SQL: dict[str, str] = {}

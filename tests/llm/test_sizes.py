@@ -56,7 +56,8 @@ def test_mix_equals_plain_systematic_sampling(spark):
     d = spark.createDataFrame([(*r, "clash") for r in docs], "k long, source string, t string, copy string")
     t = spark.createDataFrame(targets, "source string, target_share double, max_repeats int")
     out, report = mixing.mix(d, t, "k", "t")
-    rows, told = out.collect(), {r["source"]: r for r in report.collect()}
+    decided = out.collect()
+    rows, told = mixing.uses(out).collect(), {r["source"]: r for r in report.collect()}
     assert {r["k"] for r in rows}.isdisjoint({9001, 9002, 9003, 9004})
     cap = {"a": 2, "b": 1, "c": 3}
     assert all(r["copy"] <= cap[r["source"]] for r in rows)
@@ -67,7 +68,8 @@ def test_mix_equals_plain_systematic_sampling(spark):
     weights = {"a": 0.5 / 0.9, "b": 0.2 / 0.9, "c": 0.2 / 0.9}
     assert all(abs(told[s]["actual_share"] - w) < 0.02 for s, w in weights.items())
     assert (told["e"]["documents"], told["e"]["actual_share"]) == (0, 0.0)
-    again = mixing.mix(d, t, "k", "t")[0]
+    assert len(decided) == 600 and sum(r["copies"] for r in decided) == len(rows)
+    again = mixing.uses(mixing.mix(d, t, "k", "t")[0])
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, rows))
     assert mixing.mix(d.limit(0), t, "k", "t")[0].count() == 0 and mixing.mix(d, t.limit(0), "k", "t")[0].count() == 0
 
