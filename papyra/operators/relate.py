@@ -8,12 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last version of each key by ``order`` (nulls first); one hash aggregation, no sort of groups.
+def latest(df: DataFrame, keys: list[str], order: list[str], same_ties: bool = False) -> DataFrame:
+    """The last version of each key by ``order`` (nulls first); one aggregation, no sort of groups.
 
-    Versions equal in ``order`` are told apart by their content, so the result is deterministic.
+    Versions equal in ``order`` are told apart by their content, so the result is deterministic. With
+    ``same_ties`` such versions are known to be copies; each column is then its own aggregate, and
+    columns that nobody reads are pruned down to the scan.
     """
     rest = [c for c in df.columns if c not in keys]
+    if same_ties:
+        by = F.struct(*order)
+        return df.groupBy(*keys).agg(*[F.max_by(c, by).alias(c) for c in rest]).select(*df.columns)
     best = F.max(F.struct(*[F.col(c) for c in order], *[F.col(c) for c in rest if c not in order])).alias("_v")
     return df.groupBy(*keys).agg(best).select(*[F.col(c) if c in keys else F.col(f"_v.{c}").alias(c) for c in df.columns])
 

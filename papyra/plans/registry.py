@@ -42,15 +42,14 @@ class Registry:
         return add
 
 
-def current(spark: SparkSession, sf: str, name: str, *more: str) -> DataFrame:
+def current(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A corpus table without repeated rows; of late versions the last.
 
-    Wide columns (raw_json) are left in the files unless named in ``more``.
+    Columns that a query does not use are pruned down to the scan.
     """
     df = table(spark, sf, name)
-    df = df.select(*[c for c in df.columns if c != "raw_json" or c in more])
     if name in ("papers", "source_blocks"):
-        return latest(df, ["id"], ["ingested_at"])
+        return latest(df, ["id"], ["ingested_at"], same_ties=True)
     if name == "translations":
-        return latest(df, ["path", "paragraph_id", "source_hash"], ["translated_at"])
+        return latest(df, ["path", "paragraph_id", "source_hash"], ["translated_at"], same_ties=True)
     return df.distinct()

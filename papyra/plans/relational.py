@@ -159,7 +159,7 @@ def inventory_difference(spark: SparkSession, sf: str) -> DataFrame:
 @query("""with j as (select id, title, kind, template, json_extract_string(raw_json, '$.title') as t, json_extract_string(raw_json, '$.kind') as k, json_extract_string(raw_json, '$.template') as m from p where starts_with(raw_json, '{'))
  select id, 'title' as field from j where title is distinct from t union all select id, 'kind' from j where kind is distinct from k union all select id, 'template' from j where template is distinct from m""", "p")
 def row_equality(spark: SparkSession, sf: str) -> DataFrame:
-    p = current(spark, sf, "papers", "raw_json").where(F.startswith("raw_json", F.lit("{")))
+    p = current(spark, sf, "papers").where(F.startswith("raw_json", F.lit("{")))
     read = p.select("id", *[F.get_json_object("raw_json", f"$.{c}").alias(c) for c in ("title", "kind", "template")])
     return relate.field_differences(p, read, "id", ["title", "kind", "template"])
 
