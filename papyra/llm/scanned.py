@@ -30,17 +30,17 @@ MISREAD = (
     ("1", "l"), ("0", "o"), ("5", "s"), ("9", "g"), ("6", "b"), ("8", "B"), ("2", "z"), ("|", "l"),
     ("c", "e"), ("l", "i"), ("f", "t"), ("I", "l"), ("h", "b"), ("e", "c"), ("i", "l"), ("t", "f"), ("1", "i"), ("q", "g"), ("y", "v"),
 )
-# Ideographs taken for one another, read -> printed.
-MISREAD_HAN = dict(
-    x.split(">") for x in (
-        "淮>准 埋>理 仳>化 衣>农 恩>思 枝>技 坏>环 休>体 景>影 巾>市 冶>治 糸>系 厉>历 白>自 自>白 沟>构 士>土 土>士 末>未 未>末 太>大 大>太 津>律 "
-        "没>设 设>没 纺>统 己>已 已>己 入>人 人>入 科>料 料>科 间>问 问>间 日>曰 曰>日 千>干 干>千 天>夫 夫>天 王>玉 玉>王 午>牛 牛>午 住>往 往>住 "
-        "侯>候 候>侯 待>侍 侍>待 拔>拨 拨>拔 析>折 折>析 辨>辩 辩>辨 崇>祟 祟>崇 戊>戌 戌>戊 刀>力 力>刀 兔>免 免>兔 鸟>乌 乌>鸟 网>冈 元>无 无>元 "
-        "本>木 木>本 目>日 甲>申 申>甲 由>田 田>由 北>比 比>北 今>令 令>今 代>伐 伐>代 情>清 清>情 晴>睛 晴>情 渴>喝 喝>渴 栽>裁 裁>栽 贷>货 货>贷 "
-        "徽>微 微>徽 崖>涯 杨>扬 扬>杨 提>堤 堤>提 师>帅 帅>师 仑>仓 仓>仑 于>千 千>于 士>上 上>土 主>王 工>土 丁>了 了>丁 几>九 九>几 八>入 "
-        "风>凤 凤>风 汁>计 计>汁 训>驯 抗>坑 坑>抗 找>我 我>找 末>木 来>末 束>東 束>来 苦>若 若>苦 茶>荼 幕>墓 墓>幕 慕>幕 暮>幕 密>蜜 蜜>密"
-    ).split()
-)
+# Ideographs taken for one another, read>printed; a character read may have been printed as one of several.
+MISREAD_HAN: dict[str, list[str]] = {}
+for _pair in (
+    "淮>准 埋>理 仳>化 衣>农 恩>思 枝>技 坏>环 休>体 景>影 巾>市 冶>治 糸>系 厉>历 白>自 自>白 沟>构 士>土 土>士 末>未 未>末 太>大 大>太 津>律 "
+    "没>设 设>没 纺>统 己>已 已>己 入>人 人>入 科>料 料>科 间>问 问>间 日>曰 曰>日 千>干 干>千 天>夫 夫>天 王>玉 玉>王 午>牛 牛>午 住>往 往>住 "
+    "侯>候 候>侯 待>侍 侍>待 拔>拨 拨>拔 析>折 折>析 辨>辩 辩>辨 崇>祟 祟>崇 戊>戌 戌>戊 刀>力 力>刀 兔>免 免>兔 鸟>乌 乌>鸟 网>冈 元>无 无>元 "
+    "本>木 木>本 目>日 甲>申 申>甲 由>田 田>由 北>比 比>北 今>令 令>今 代>伐 伐>代 情>清 清>情 晴>睛 晴>情 渴>喝 喝>渴 栽>裁 裁>栽 贷>货 货>贷 "
+    "徽>微 微>徽 崖>涯 杨>扬 扬>杨 提>堤 堤>提 师>帅 帅>师 仑>仓 仓>仑 于>千 千>于 士>上 上>土 主>王 工>土 丁>了 了>丁 几>九 九>几 八>入 "
+    "风>凤 凤>风 汁>计 计>汁 训>驯 抗>坑 坑>抗 找>我 我>找 末>木 来>末 束>東 束>来 苦>若 若>苦 茶>荼 幕>墓 墓>幕 慕>幕 暮>幕 密>蜜 蜜>密"
+).split():
+    MISREAD_HAN.setdefault(_pair[0], []).append(_pair[2])
 _DOUBTFUL_HAN = re.compile("[" + "".join(MISREAD_HAN) + "]")
 # Characters printed for a hyphen at a line end.
 HYPHENS = "-¬‐‑­"
@@ -281,11 +281,14 @@ class Editor:
         if window not in self._windows:
             if len(self._windows) > 200_000:
                 self._windows.clear()
-            printed = MISREAD_HAN[window[2]]
-            p, c, n = window[1:4]
-            sides = [self.counts.han(p, printed) - self.counts.han(p, c), self.counts.han(printed, n) - self.counts.han(c, n)]
-            taken = max(sides) >= 2 and min(sides) >= -2 and self.han.score(han_features(window, printed, self.counts)) > 0
-            self._windows[window] = printed if taken else c
+            p2, p, c, n, n2 = window
+            taken = []
+            for printed in MISREAD_HAN[c]:
+                sides = [self.counts.han(p, printed) - self.counts.han(p, c), self.counts.han(printed, n) - self.counts.han(c, n)]
+                if max(sides) >= 2 and min(sides) >= -2 and (score := self.han.score(han_features(window, printed, self.counts))) > 0:  # of several readings, the one its neighbours know best
+                    known = sum(self.counts.han(*x) for x in ((p, printed), (printed, n), (p2, p, printed), (p, printed, n), (printed, n, n2)))
+                    taken.append((known, score, printed))
+            self._windows[window] = max(taken)[2] if taken else c
         return self._windows[window]
 
     def read(self, text: str, scanned: bool | None = None) -> tuple[str, bool, bool, bool]:
@@ -432,9 +435,11 @@ def fit(texts: list[str], headers: list[str], counts: Counts, recurs: np.ndarray
     line, join, edit, han = [], [], [], []
     common = [h for h in headers if h.strip()][:400] or ["Mock Paper", "SAMPLE", "模拟试题"]
     shapes = [*common, *(h.upper() for h in common if h.isascii()), *(re.sub(r"\s*\d+\s*$", "", h) for h in common)]
-    inverse: dict[str, list[str]] = {}
-    for read, printed in MISREAD_HAN.items():
-        inverse.setdefault(printed, []).append(read)
+    more = random.Random(seed + 1)  # further readings draw apart, so the noise of lines and breaks does not change with their number
+    inverse: dict[str, list[tuple[str, random.Random]]] = {}
+    for read, several in MISREAD_HAN.items():
+        for printed in several:
+            inverse.setdefault(printed, []).append((read, rng if printed == several[-1] else more))
     for t in texts:
         marked, breaks = noised(t, rng, shapes)
         lines = [x for x, _ in marked]
@@ -456,10 +461,10 @@ def fit(texts: list[str], headers: list[str], counts: Counts, recurs: np.ndarray
                 edit += [(edit_features(bad[0], a, z, p, counts), False) for a, z, p, _ in word_candidates(bad[0]) if (a, z) != (bad[1], bad[2])]
         padded = "  " + t + "  "
         for i, c in enumerate(t):
-            if c in MISREAD_HAN:
-                han.append((han_features(padded[i : i + 5], MISREAD_HAN[c], counts), False))
-            for read in inverse.get(c, ()):
-                if rng.random() < 0.3:
+            for printed in MISREAD_HAN.get(c, ()):
+                han.append((han_features(padded[i : i + 5], printed, counts), False))
+            for read, draws in inverse.get(c, ()):
+                if draws.random() < 0.3:
                     han.append((han_features(padded[i : i + 2] + read + padded[i + 3 : i + 5], c, counts), True))
     # Line breaks that stay: lists, code and separate paragraphs built from the same texts.
     for i in range(0, len(texts) - 2, 2):

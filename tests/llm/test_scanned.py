@@ -54,6 +54,18 @@ def test_repairs_noise_and_leaves_the_rest(spark, corpus):
     assert len(whole) >= 0.95 * len(noisy)
 
 
+def test_every_printed_reading_of_an_ideograph_is_offered(spark):
+    rng = random.Random(6)
+    parts = "未来 土地 木材 道路 上面 农民 城市 河流 保护 土壤 森林 研究 发展 利用 北京 上海".split()
+    clean = [(f"c{i}", f"p{i % 20}", "，".join("".join(rng.choice(parts) for _ in range(4)) for _ in range(5)) + "，保护未来的土地和木材在上面。") for i in range(300)]
+    bad = [("b1", "p1", "保护末来的土地和木材，研究城市的发展。"), ("b2", "p1", "保护未来的士地和木材，研究城市的发展。"), ("b3", "p1", "保护末材的发展。"), ("b4", "p1", "木材在士面。")]
+    df = spark.createDataFrame(clean + bad, "k string, paper string, t string")
+    got = {r["k"]: r for r in scanned.read_scans(df, ["k"], "t", "paper").collect()}
+    assert got["b1"]["repaired"] == got["b2"]["repaired"] == "保护未来的土地和木材，研究城市的发展。"
+    assert (got["b3"]["repaired"], got["b4"]["repaired"]) == ("保护木材的发展。", "木材在上面。")
+    assert not any(got[k]["misread"] for k, *_ in clean)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "k string, paper string, t string")
     assert scanned.read_scans(df, ["k"], "t", "paper").count() == 0
