@@ -30,6 +30,8 @@ MISREAD = (
     ("1", "l"), ("0", "o"), ("5", "s"), ("9", "g"), ("6", "b"), ("8", "B"), ("2", "z"), ("|", "l"),
     ("c", "e"), ("l", "i"), ("f", "t"), ("I", "l"), ("h", "b"), ("e", "c"), ("i", "l"), ("t", "f"), ("1", "i"), ("q", "g"), ("y", "v"),
 )
+# Two printed letters read as one, read -> printed: the inverse of the pairs above that read one letter as two.
+MERGED = tuple((printed, read) for read, printed in MISREAD if len(read) > len(printed))
 # Ideographs taken for one another, read>printed; a character read may have been printed as one of several.
 MISREAD_HAN: dict[str, list[str]] = {}
 for _pair in (
@@ -51,6 +53,8 @@ SKETCH = 1 << 20
 DIMS = 1 << 18
 #: Shares of papers that tell how much a line recurs; shares, so that they mean the same at every size.
 SEEN = (0.002, 0.01, 0.05)
+#: An insertion is tried in forms of at most this many edits: the more forms are tried, the more of them share a counter with a known word.
+INSERT_WITHIN = 2
 _WORD = re.compile(r"[A-Za-zÀ-ÿ0-9|]+")
 _WHOLE_WORD = re.compile(r"(?<![^\W\d_一-鿿])[A-Za-z0-9|]+(?![^\W\d_一-鿿])")  # not part of a word that holds other letters
 _HAN = re.compile(r"[一-鿿]")
@@ -205,13 +209,13 @@ def join_features(left: str, right: str, counts: Counts, lines: list[str]) -> li
 # Candidates of the character editor. A decision depends on the word, or for ideographs on two neighbours each side, so it is made once for each.
 
 
-def word_candidates(w: str) -> list[tuple[int, int, str, str]]:
+def word_candidates(w: str, pairs: tuple[tuple[str, str], ...] = MISREAD + MERGED) -> list[tuple[int, int, str, str]]:
     """(from, to, printed, operation) of every misreading that may stand in the word."""
     out = []
-    for read, printed in MISREAD:
+    for read, printed in pairs:
         at = w.find(read)
         while at >= 0:
-            out.append((at, at + len(read), printed, "replace" if len(read) == len(printed) else "replace+delete"))
+            out.append((at, at + len(read), printed, "replace" if len(read) == len(printed) else "replace+delete" if len(read) > len(printed) else "replace+insert"))
             at = w.find(read, at + 1)
     return out
 
@@ -259,19 +263,23 @@ class Editor:
             return self._words[w]
         out = w
         if not w.isdigit() and sum(c.isalpha() for c in w) > 1:
-            now, reached = self.counts.word(w), {w}
+            now = self.counts.word(w)
             # A misreading is rarer than its word by a factor that holds at every size; short words lie close to one another.
             need = 4 if len(w) > 4 or any(c.isdigit() for c in w) else 7
             if len(w) < 4 and w.isalpha():
                 now = max(now, 2)
-            for _ in range(3):  # fewest edits first
-                steps = {w_[:a] + p + w_[z:]: (w_, a, z, p) for w_ in sorted(reached) for a, z, p, _ in word_candidates(w_)}
-                known = sorted(((self.counts.word(x), x) for x in steps), reverse=True)
-                good = [x for n, x in known if n >= (3 if now <= 1 else now + need) and self.edit.score(edit_features(*steps[x], self.counts)) > 0]
-                if good:
-                    out = good[0]
+            for pairs, most in ((MISREAD, 3), (MISREAD + MERGED, INSERT_WITHIN)):  # insertions where nothing else leads to a word
+                reached = {w}
+                for _ in range(most):  # fewest edits first
+                    steps = {w_[:a] + p + w_[z:]: (w_, a, z, p) for w_ in sorted(reached) for a, z, p, _ in word_candidates(w_, pairs)}
+                    known = sorted(((self.counts.word(x), x) for x in steps), reverse=True)
+                    good = [x for n, x in known if n >= (3 if now <= 1 else now + need) and self.edit.score(edit_features(*steps[x], self.counts)) > 0]
+                    if good:
+                        out = good[0]
+                        break
+                    reached = set(sorted(steps, key=lambda x: (-self.counts.word(x), -sum(c.isalpha() for c in x), x))[:40])
+                if out != w:
                     break
-                reached = set(sorted(steps, key=lambda x: (-self.counts.word(x), -sum(c.isalpha() for c in x), x))[:40])
         if len(self._words) > 200_000:
             self._words.clear()
         self._words[w] = out
@@ -419,9 +427,9 @@ def noised(text: str, rng: random.Random, headers: list[str]) -> tuple[list[tupl
     return marked, breaks
 
 
-def misread(word: str, rng: random.Random) -> tuple[str, int, int, str] | None:
+def misread(word: str, rng: random.Random, pairs: tuple[tuple[str, str], ...] = MISREAD[:20]) -> tuple[str, int, int, str] | None:
     """(the word misread, from, to of what was read, printed) at one random place, or None."""
-    options = [(m.start(), read, printed) for read, printed in MISREAD[:20] for m in re.finditer(re.escape(printed), word)]
+    options = [(m.start(), read, printed) for read, printed in pairs for m in re.finditer(re.escape(printed), word)]
     if not options:
         return None
     at, read, printed = rng.choice(options)
@@ -435,7 +443,7 @@ def fit(texts: list[str], headers: list[str], counts: Counts, recurs: np.ndarray
     line, join, edit, han = [], [], [], []
     common = [h for h in headers if h.strip()][:400] or ["Mock Paper", "SAMPLE", "模拟试题"]
     shapes = [*common, *(h.upper() for h in common if h.isascii()), *(re.sub(r"\s*\d+\s*$", "", h) for h in common)]
-    more = random.Random(seed + 1)  # further readings draw apart, so the noise of lines and breaks does not change with their number
+    more, merging = random.Random(seed + 1), random.Random(seed + 2)  # further readings draw apart, so the noise of lines and breaks does not change with their number
     inverse: dict[str, list[tuple[str, random.Random]]] = {}
     for read, several in MISREAD_HAN.items():
         for printed in several:
@@ -455,10 +463,11 @@ def fit(texts: list[str], headers: list[str], counts: Counts, recurs: np.ndarray
         for w in words:
             for a, z, p, _ in word_candidates(w):
                 edit.append((edit_features(w, a, z, p, counts), False))
-            if rng.random() < 0.25 and len(w) > 3 and (bad := misread(w, rng)) and bad[0] != w:
-                # The misread word is rare in print, so its own count is left as the table has it.
-                edit.append((edit_features(bad[0], *bad[1:], counts), True))
-                edit += [(edit_features(bad[0], a, z, p, counts), False) for a, z, p, _ in word_candidates(bad[0]) if (a, z) != (bad[1], bad[2])]
+            for draws, pairs in ((rng, MISREAD[:20]), (merging, MERGED)):
+                if draws.random() < 0.25 and len(w) > 3 and (bad := misread(w, draws, pairs)) and bad[0] != w:
+                    # The misread word is rare in print, so its own count is left as the table has it.
+                    edit.append((edit_features(bad[0], *bad[1:], counts), True))
+                    edit += [(edit_features(bad[0], a, z, p, counts), False) for a, z, p, _ in word_candidates(bad[0]) if (a, z, p) != bad[1:]]
         padded = "  " + t + "  "
         for i, c in enumerate(t):
             for printed in MISREAD_HAN.get(c, ()):

@@ -66,6 +66,20 @@ def test_every_printed_reading_of_an_ideograph_is_offered(spark):
     assert not any(got[k]["misread"] for k, *_ in clean)
 
 
+def test_two_letters_read_as_one_are_put_back(spark):
+    rng = random.Random(7)
+    words = "governance journals concern turnover modernised stubborn include decline".split()
+    clean = [(f"c{i}", f"p{i % 20}", f"{sentence(rng)} It shows {rng.choice(words)} and {rng.choice(words)} in the {rng.choice(WORDS)}.") for i in range(400)]
+    bad = [("b1", "p1", "The govemance of the village will protect the people."), ("b2", "p1", "The joumals consider the tumover of the market."), ("b3", "p1", "The dedine of the library is a concem.")]
+    df = spark.createDataFrame(clean + bad, "k string, paper string, t string")
+    got = {r["k"]: r for r in scanned.read_scans(df, ["k"], "t", "paper").collect()}
+    assert got["b1"]["repaired"] == "The governance of the village will protect the people."
+    assert got["b2"]["repaired"] == "The journals consider the turnover of the market."
+    assert got["b3"]["repaired"] == "The decline of the library is a concern."
+    assert all(got[k]["misread"] for k, *_ in bad)
+    assert not any(got[k]["misread"] for k, *_ in clean)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "k string, paper string, t string")
     assert scanned.read_scans(df, ["k"], "t", "paper").count() == 0
