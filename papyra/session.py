@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -20,16 +21,17 @@ ROOT = Path(__file__).resolve().parent.parent
 def ship(spark: SparkSession) -> None:
     """Make this package importable on the executors, once per application.
 
-    Nothing is done where PYTHONPATH already names its folder, as clusters that install it do.
+    The archive stays until the driver ends, because executors that start later fetch it too. Only a
+    local session whose PYTHONPATH names the package's folder needs none: its workers inherit the path.
     """
-    if str(ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
-        return
     sc = spark.sparkContext
     if getattr(sc, "_papyra_shipped", False):
         return
-    with tempfile.TemporaryDirectory() as d:
-        packed = shutil.make_archive(f"{d}/papyra-package", "zip", ROOT, "papyra")
-        sc.addPyFile(packed)
+    inherits = str(ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if not (inherits and (sc.master == "local" or sc.master.startswith("local["))):
+        folder = tempfile.mkdtemp(prefix="papyra-package-")
+        atexit.register(shutil.rmtree, folder, True)
+        sc.addPyFile(shutil.make_archive(f"{folder}/papyra-package", "zip", ROOT, "papyra"))
     sc._papyra_shipped = True
 
 
@@ -58,12 +60,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage with a checkpoint in the cluster's shared folder.
 
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is set only
-    where the session names none, as in local tests.
+    The folder is the session's ``spark.checkpoint.dir``. Where the session names none, a temporary
+    one is made in local sessions only; on a cluster it would be a folder of the driver's machine.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="papyra-checkpoint-"))
     return df.checkpoint(eager)
 
