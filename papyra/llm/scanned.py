@@ -1,34 +1,42 @@
 """Noise of scanned pages: an averaged-perceptron character editor and a line classifier.
 
-Three stages, each an averaged perceptron trained here on noise put into the table's own clean
-texts (a bounded sample): furniture lines (running headers, page numbers) by features of their
-position on the page and of how often the line recurs over papers; line joins (a hyphenated word, a
-wrapped line, a line break that stays); and character edits (keep, replace, delete, insert) at the
-places where a known misreading could stand. Word and n-gram counts over all texts, held in a sketch
-of fixed size, tell which reading is a word.
+Stages, each an averaged perceptron trained here on noise put into the table's own clean texts (a
+bounded sample): furniture lines (running headers, page numbers) by features of their position on the
+page and of how often the line recurs over papers; line joins (a hyphenated word, a wrapped line, a
+line break that stays); and character edits (keep, replace, delete, insert).
+
+A character edit turns what was read into what was printed. Which segments are read for which is a
+fixed list of look-alikes plus what the table itself shows: rare words that differ from a far more
+frequent one in one segment, the same segment in many words. The forms of a word are all known words
+that any number of such edits reaches, found by walking the sorted vocabulary; the perceptron's score
+decides between them, keeping the word being score 0.
 """
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import zlib
-from collections import Counter
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyra.llm.glyphs import to_codes
-from papyra.session import spread
+from papyra.session import cut, spread
 
 # Misreadings of Latin print, read -> printed.
 MISREAD = (
     ("rn", "m"), ("cl", "d"), ("ii", "u"), ("li", "h"), ("vv", "w"), ("nn", "m"), ("ri", "n"), ("lc", "k"),
-    ("1", "l"), ("0", "o"), ("5", "s"), ("9", "g"), ("6", "b"), ("8", "B"), ("2", "z"), ("|", "l"),
-    ("c", "e"), ("l", "i"), ("f", "t"), ("I", "l"), ("h", "b"), ("e", "c"), ("i", "l"), ("t", "f"), ("1", "i"), ("q", "g"), ("y", "v"),
+    ("1", "l"), ("0", "o"), ("5", "s"), ("9", "g"), ("6", "b"), ("8", "b"), ("2", "z"), ("|", "l"),
+    ("c", "e"), ("l", "i"), ("f", "t"), ("h", "b"), ("e", "c"), ("i", "l"), ("t", "f"), ("1", "i"), ("q", "g"), ("y", "v"),
 )
 # Two printed letters read as one, read -> printed: the inverse of the pairs above that read one letter as two.
 MERGED = tuple((printed, read) for read, printed in MISREAD if len(read) > len(printed))
@@ -48,13 +56,15 @@ _DOUBTFUL_HAN = re.compile("[" + "".join(MISREAD_HAN) + "]")
 HYPHENS = "-¬‐‑­"
 #: Clean texts taken for training, at most.
 TRAIN_TEXTS = 1500
-#: Counters of the sketch (a power of two); its size does not grow with the data.
-SKETCH = 1 << 20
+#: Header lines taken as patterns of furniture in training, at most.
+TRAIN_HEADERS = 400
+#: Most frequent words from which further misreadings are learned, at most.
+LEARN_WORDS = 60_000
+#: Words and ideograph sequences that make up less of all are not known; so at most 1 / share of them are.
+WORD_SHARE, HAN_SHARE = 1e-6, 1e-7
 DIMS = 1 << 18
 #: Shares of papers that tell how much a line recurs; shares, so that they mean the same at every size.
 SEEN = (0.002, 0.01, 0.05)
-#: An insertion is tried in forms of at most this many edits: the more forms are tried, the more of them share a counter with a known word.
-INSERT_WITHIN = 2
 _WORD = re.compile(r"[A-Za-zÀ-ÿ0-9|]+")
 _WHOLE_WORD = re.compile(r"(?<![^\W\d_一-鿿])[A-Za-z0-9|]+(?![^\W\d_一-鿿])")  # not part of a word that holds other letters
 _HAN = re.compile(r"[一-鿿]")
@@ -71,69 +81,105 @@ def _mask(line: str) -> str:
     return re.sub(r"\d+", "0", re.sub(r"\s+", " ", line.strip()))
 
 
-def _slot(s: str) -> int:
-    return zlib.crc32(s.encode()) & (SKETCH - 1)
+def _line_key(masked: str) -> int:
+    """As Spark's xxhash64 of the line."""
+    return int(np.int64(np.uint64(xxhash.xxh64_intdigest(masked.encode("utf-8", "replace"), 42))))
 
 
-def _han_slots(a: np.ndarray, b: np.ndarray, c: np.ndarray | None = None) -> np.ndarray:
-    h = a.astype(np.uint64) * np.uint64(0x9E3779B1) ^ b.astype(np.uint64) * np.uint64(0x85EBCA77)
-    if c is not None:
-        h = (h * np.uint64(31)) ^ c.astype(np.uint64) * np.uint64(0xC2B2AE3D)
-    return ((h ^ (h >> np.uint64(17))) & np.uint64(SKETCH - 1)).astype(np.int64)
+def _han_keys(*columns: np.ndarray) -> np.ndarray:
+    """Two or three ideographs as one number, without collisions."""
+    out = np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        out = (out << 21) | c.astype(np.int64)
+    return out
 
 
 class Counts:
-    """Log-counts of words (lower case) and ideograph pairs and triples, by slot."""
+    """Log-counts of words (lower case) and of ideograph pairs and triples; what is not known counts 0."""
 
-    def __init__(self, slots: np.ndarray):
-        self.log = np.log2(1 + slots).astype(np.int8)
+    def __init__(self, words: dict[str, int], keys: np.ndarray, n: np.ndarray):
+        self.vocabulary = sorted(words)
+        self.of = np.log2(1 + np.array([words[w] for w in self.vocabulary], np.float64)).round().astype(np.int8)
+        order = np.argsort(keys)
+        self.keys, self.logs = keys[order], np.log2(1 + n[order].astype(np.float64)).round().astype(np.int8)
 
     def word(self, w: str) -> int:
-        return int(self.log[_slot(w.lower())])
+        w = w.lower()
+        i = bisect_left(self.vocabulary, w)
+        return int(self.of[i]) if i < len(self.vocabulary) and self.vocabulary[i] == w else 0
 
     def han(self, *chars: str) -> int:
-        if any(not _HAN.match(c) for c in chars):
-            return -1
-        return int(self.log[_han_slots(*[np.array([ord(c)]) for c in chars])[0]])
+        key = 0
+        for c in chars:
+            if not "\u4e00" <= c <= "\u9fff":
+                return -1
+            key = (key << 21) | ord(c)
+        i = int(self.keys.searchsorted(key))
+        return int(self.logs[i]) if i < len(self.keys) and self.keys[i] == key else 0
+
 
+def tally(rows: DataFrame) -> tuple[Counts, dict[str, int]]:
+    """Counts over every text of (_text), lines as they stand, and the counts of the vocabulary.
 
-def count_slots(rows: DataFrame) -> Counts:
-    """The sketch over every text of (_text); lines are counted as they stand."""
+    One pass over the texts, summed exactly by key; only what reaches its share of all comes to the driver.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        slots = np.zeros(SKETCH, np.int64)
         for b in batches:
             words: Counter[str] = Counter()
             for t in b["_text"]:
                 words.update(_WORD.findall(t.lower()))
-            for w, n in words.items():
-                slots[_slot(w)] += n
-            import pyarrow as pa
-
-            codes, _ = to_codes(pa.array(re.sub(r"\s+", "", "".join(t + "\x01" for t in b["_text"])).split("\x01"), pa.string()))
+            codes, _ = to_codes(pa.array(re.sub(r"[^\S\x01]+", "", "\x01".join(b["_text"])).split("\x01"), pa.string()))
             han = (codes >= 0x4E00) & (codes <= 0x9FFF)
             two = han[:-1] & han[1:]
-            np.add.at(slots, _han_slots(codes[:-1][two], codes[1:][two]), 1)
             three = two[:-1] & han[2:]
-            np.add.at(slots, _han_slots(codes[:-2][three], codes[1:-1][three], codes[2:][three]), 1)
-        at = np.flatnonzero(slots)
-        yield pd.DataFrame({"slot": at, "n": slots[at]})
-
-    got = rows.mapInPandas(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SKETCH rows at most
-    out = np.zeros(SKETCH, np.int64)
-    out[got["slot"].to_numpy()] = got["n"].to_numpy()
-    return Counts(out)
-
-
-def recurring_lines(rows: DataFrame) -> np.ndarray:
-    """By slot: in which share of the papers a line (digits masked) stands within a text of several lines; 0 under three papers."""
+            both = np.concatenate([_han_keys(codes[:-1][two], codes[1:][two]), _han_keys(codes[:-2][three], codes[1:-1][three], codes[2:][three])])
+            keys, n = np.unique(both, return_counts=True)
+            yield pd.DataFrame({"word": [*words, *[None] * len(keys)], "key": np.concatenate([np.zeros(len(words), np.int64), keys]), "n": [*words.values(), *n.tolist()]})
+
+    sums = cut(rows.mapInPandas(run, "word string, key long, n long").groupBy("word", "key").agg(F.sum("n").alias("n")))
+    size = sums.groupBy(F.col("word").isNull().alias("han")).agg(F.sum("n").alias("n")).collect()
+    of = {r["han"]: r["n"] for r in size}
+    known = sums.where((F.col("word").isNotNull() & (F.col("n") >= WORD_SHARE * of.get(False, 0))) | (F.col("word").isNull() & (F.col("n") >= HAN_SHARE * of.get(True, 0))))
+    got = known.toArrow()
+    names, keys, n = got["word"].to_pylist(), got["key"].to_numpy(), got["n"].to_numpy()
+    is_han = np.array([w is None for w in names], bool)
+    words = {w: int(x) for w, x in zip(names, n, strict=True) if w is not None}
+    return Counts(words, keys[is_han], n[is_han]), words
+
+
+def learned(words: dict[str, int], most: int = LEARN_WORDS, least: int = 5, rarer: int = 16, sure: float = 0.8) -> list[tuple[str, str]]:
+    """(read, printed) segments of one or two letters in which rare words differ from a far more frequent one.
+
+    A segment pair counts with at least ``least`` words of which a share of ``sure`` is ``rarer`` times less
+    frequent than the word it resembles; endings that words simply take in turn are about as frequent as
+    one another and fall out. Words of six letters or more, of which four at least agree.
+    """
+    top = sorted((w for w in words if len(w) > 5 and not w.isdigit()), key=lambda w: (-words[w], w))[:most]
+    groups: dict[int, list[tuple[str, str]]] = defaultdict(list)
+    for w in top:
+        for size in (1, 2):
+            for i in range(len(w) - size + 1):
+                if len(w) - size >= 4:
+                    groups[hash((w[:i], w[i + size :]))].append((w, w[i : i + size]))
+    rare, even = Counter(), Counter()
+    for members in groups.values():
+        if len(members) > 1:
+            best, printed = members[0]  # in order of frequency
+            for w, read in members[1:]:
+                if read != printed and read[0] != printed[0] and read[-1] != printed[-1]:
+                    (rare if words[best] >= rarer * words[w] else even)[read, printed] += 1
+    return sorted(r for r, n in rare.items() if n >= least and n >= sure * (n + even[r] + even[r[::-1]]))
+
+
+def recurring_lines(rows: DataFrame) -> dict[int, float]:
+    """In which share of the papers a line (digits masked) stands within a text of several lines, for lines of three papers and the least share that tells anything."""
     lines = rows.where(F.col("_text").contains("\n")).select("_group", F.explode(F.split("_text", r"\r?\n")).alias("_l"))
     masked = F.regexp_replace(F.trim(F.regexp_replace("_l", r"\s+", " ")), r"\d+", "0")
-    slots = lines.select("_group", F.crc32(F.encode(masked, "UTF-8")).bitwiseAND(SKETCH - 1).alias("slot")).distinct()
-    got = slots.groupBy("slot").agg(F.count("*").alias("n")).where("n > 2").toArrow()
-    out = np.zeros(SKETCH, np.float32)
-    out[got["slot"].to_numpy()] = got["n"].to_numpy() / max(1, rows.select("_group").distinct().count())
-    return out
+    per = lines.select("_group", F.xxhash64(masked).alias("key")).distinct().groupBy("key").agg(F.count("*").alias("n"))
+    papers = max(1, rows.select("_group").distinct().count())
+    got = per.where((F.col("n") > 2) & (F.col("n") >= SEEN[0] * papers)).toArrow()  # at most 1 / SEEN[0] times the lines of a paper
+    return dict(zip(got["key"].to_pylist(), (got["n"].to_numpy() / papers).tolist(), strict=True))
 
 
 class Perceptron:
@@ -146,25 +192,51 @@ class Perceptron:
     def ids(features: list[str]) -> list[int]:
         return [zlib.crc32(f.encode()) & (DIMS - 1) for f in features]
 
-    def fit(self, examples: list[tuple[list[str], bool]], epochs: int = 4, seed: int = 1) -> Perceptron:
-        data = [(self.ids(f), 1.0 if y else -1.0) for f, y in examples]
-        w, total, t = np.zeros(DIMS), np.zeros(DIMS), 1
-        rng = random.Random(seed)
+    def fit(self, examples: list[tuple[list[str], bool]], epochs: int = 8, seed: int = 1, batch: int = 4, margin: tuple[float, float] = (0.5, 0.5)) -> Perceptron:
+        """Train on small batches; examples of either kind (false, true) must clear their margin."""
+        if not examples:
+            return self
+        ids = [self.ids(f) for f, _ in examples]
+        width = max(map(len, ids))
+        table = np.full((len(ids), width), DIMS, np.int64)  # the last weight belongs to no feature
+        for i, x in enumerate(ids):
+            table[i, : len(x)] = x
+        y = np.array([1.0 if t else -1.0 for _, t in examples])
+        need = np.where(y > 0, margin[1], margin[0])
+        w, total, t = np.zeros(DIMS + 1), np.zeros(DIMS + 1), 1
+        rng = np.random.default_rng(seed)
         for _ in range(epochs):
-            rng.shuffle(data)
-            for x, y in data:
-                if y * sum(w[i] for i in x) <= 0.5:
-                    for i in x:
-                        w[i] += y
-                        total[i] += y * t
+            order = rng.permutation(len(ids))
+            for i in range(0, len(order), batch):
+                at = order[i : i + batch]
+                x = table[at]
+                wrong = np.flatnonzero(y[at] * w[x].sum(1) <= need[at])
+                if len(wrong):
+                    step = np.repeat(y[at][wrong], width)
+                    np.add.at(w, x[wrong].ravel(), step)
+                    np.add.at(total, x[wrong].ravel(), step * t)
+                    w[DIMS] = total[DIMS] = 0.0
                 t += 1
-        self.w = w - total / t
+        self.w = (w - total / t)[:DIMS]
         return self
 
     def score(self, features: list[str]) -> float:
         return float(sum(self.w[i] for i in self.ids(features)))
 
 
+def without_doubtful(sure: list[tuple[list[str], bool]], doubtful: list[list[str]], margin: tuple[float, float]) -> list[tuple[list[str], bool]]:
+    """``sure`` and those of the ``doubtful`` false examples that are not taken for true by a perceptron trained without them.
+
+    Words seen once or twice in texts taken for clean may be misread ones; each half of them is judged by what the rest teaches.
+    """
+    out = list(sure)
+    halves = [[f for i, f in enumerate(doubtful) if i % 2 == h] for h in (0, 1)]
+    for h in (0, 1):
+        judge = Perceptron().fit(sure + [(f, False) for f in halves[1 - h]], margin=margin)
+        out += [(f, False) for f in halves[h] if judge.score(f) <= 0]
+    return out
+
+
 # Features of a line: where it stands on the page and what it is like.
 
 
@@ -208,27 +280,56 @@ def join_features(left: str, right: str, counts: Counts, lines: list[str]) -> li
 
 # Candidates of the character editor. A decision depends on the word, or for ideographs on two neighbours each side, so it is made once for each.
 
+Edits = tuple[tuple[int, str, str], ...]
 
-def word_candidates(w: str, pairs: tuple[tuple[str, str], ...] = MISREAD + MERGED) -> list[tuple[int, int, str, str]]:
-    """(from, to, printed, operation) of every misreading that may stand in the word."""
-    out = []
-    for read, printed in pairs:
-        at = w.find(read)
-        while at >= 0:
-            out.append((at, at + len(read), printed, "replace" if len(read) == len(printed) else "replace+delete" if len(read) > len(printed) else "replace+insert"))
-            at = w.find(read, at + 1)
-    return out
+
+class Forms:
+    """Known words that edits by the given (read, printed) rules reach."""
+
+    def __init__(self, counts: Counts, rules: list[tuple[str, str]]):
+        self.counts, self.rules = counts, sorted(set(rules))
+        self.at: dict[str, list[tuple[str, str]]] = defaultdict(list)
+        for read, printed in self.rules:
+            self.at[read[0]].append((read, printed))
+
+    def of(self, w: str) -> dict[str, Edits]:
+        """form -> its fewest edits (place in ``w``, read, printed), of any number; without ``w`` itself."""
+        v = self.counts.vocabulary
+        out: dict[str, Edits] = {}
+        todo: list[tuple[int, str, Edits, int, int]] = [(0, "", (), 0, len(v))]
+        while todo:
+            i, done, edits, lo, hi = todo.pop()
+            if i == len(w):
+                if edits and lo < len(v) and v[lo] == done and (done not in out or len(edits) < len(out[done])):
+                    out[done] = edits
+                continue
+            for read, printed in [(w[i], w[i]), *self.at.get(w[i], ())]:
+                if read is not w[i] and not w.startswith(read, i):
+                    continue
+                now = done + printed
+                a = bisect_left(v, now, lo, hi)
+                if a < hi and v[a].startswith(now):
+                    z = bisect_left(v, now + "\uffff", a, hi)
+                    todo.append((i + len(read), now, edits if read == printed else (*edits, (i, read, printed)), a, z))
+        out.pop(w, None)
+        return out
 
 
-def edit_features(w: str, a: int, z: int, printed: str, counts: Counts) -> list[str]:
-    new = w[:a] + printed + w[z:]
-    rule = f"{w[a:z]}>{printed}"
-    now, then = counts.word(w), counts.word(new)
-    gain = max(-6, min(6, then - now))
-    rare = min(8, now)
-    has_digit = any(c.isdigit() for c in w)
-    shape = f"d={has_digit},n={min(4, sum(c.isalpha() for c in w))}"
-    return [f"r={rule}", f"gain={gain}", f"gain={gain},now={rare}", f"then={min(10, then)},now={rare}", f"r={rule},gain={gain}", f"{shape},gain={gain}", f"r={rule},l={w[max(0, a - 2) : a]}", f"r={rule},x={w[z : z + 2]}", f"r={rule},{w[max(0, a - 1) : a]}_{w[z : z + 1]}", "bias"]
+def operation(read: str, printed: str) -> str:
+    return "replace" if len(read) == len(printed) else "delete" if len(read) > len(printed) else "insert"
+
+
+def edit_features(w: str, form: str, edits: Edits, now: int, then: int) -> list[str]:
+    """Features of taking ``form`` for the word ``w``; ``now`` and ``then`` are their log-counts, of which only the difference enters."""
+    gain = max(-3, min(9, then - now))
+    letters, digit = sum(c.isalpha() for c in w), any(c.isdigit() for c in w)
+    size = letters if letters < 5 else 5 if letters < 7 else 7
+    n = min(4, len(edits))
+    f = [f"gain={gain}", f"gain={gain},n={n}", f"size={size},digit={digit},gain={gain}", f"size={size},n={n}", "bias"]
+    for at, read, printed in edits:
+        rule, z = f"{read}>{printed}", at + len(read)
+        f += [f"op={operation(read, printed)},gain={gain}", f"r={rule}", f"r={rule},gain={gain}", f"r={rule},l={w[max(0, at - 2) : at]}", f"r={rule},x={w[z : z + 2]}"]
+    return f
 
 
 def han_features(window: str, printed: str, counts: Counts) -> list[str]:
@@ -242,14 +343,21 @@ def han_features(window: str, printed: str, counts: Counts) -> list[str]:
     best = max(gain[0], gain[1])
     all_ = max(-6, min(6, sum(y - x for x, y in zip((*now, *wide[0]), (*then, *wide[1]), strict=True)) // 2))
     low = min(5, max(now[0], now[1]))
-    return [f"r={rule}", f"g={gain[0]},{gain[1]}", f"best={best},low={low}", f"tri={gain[2]},low={low}", f"all={all_},low={low}", f"all={all_}", f"r={rule},all={all_}", f"r={rule},p={p}", f"r={rule},n={n}", "bias"]
+    least = max(-4, min(gain[0], gain[1]))
+    return [f"best={best},least={least}", f"least={least},all={all_}", f"r={rule}", f"g={gain[0]},{gain[1]}", f"best={best},low={low}", f"tri={gain[2]},low={low}", f"all={all_},low={low}", f"all={all_}", f"r={rule},all={all_}", f"r={rule},p={p}", f"r={rule},n={n}", "bias"]
+
+
+def _known(window: str, middle: str, counts: Counts) -> int:
+    """How well the neighbours know ``middle``."""
+    p2, p, _, n, n2 = window
+    return sum(counts.han(*x) for x in ((p, middle), (middle, n), (p2, p, middle), (p, middle, n), (middle, n, n2)))
 
 
 class Editor:
     """The trained stages; ``read`` gives the repaired text and what was found."""
 
-    def __init__(self, counts: Counts, recurs: np.ndarray):
-        self.counts, self.recurs = counts, recurs
+    def __init__(self, counts: Counts, recurs: dict[int, float], rules: list[tuple[str, str]]):
+        self.counts, self.recurs, self.forms = counts, recurs, Forms(counts, rules)
         self.line, self.join, self.edit, self.han = Perceptron(), Perceptron(), Perceptron(), Perceptron()
         self._words: dict[str, str] = {}
         self._windows: dict[str, str] = {}
@@ -257,53 +365,41 @@ class Editor:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_words": {}, "_windows": {}}
 
+    def seen(self, line: str) -> float:
+        return self.recurs.get(_line_key(_mask(line)), 0.0)
+
     def _word(self, w: str) -> str:
-        """The word as printed: the fewest edits that lead to a word better known and that the perceptron takes."""
+        """The word as printed: the form with the highest score above that of keeping it, 0."""
         if w in self._words:
             return self._words[w]
-        out = w
+        out, low = w, w.lower()
         if not w.isdigit() and sum(c.isalpha() for c in w) > 1:
-            now = self.counts.word(w)
-            # A misreading is rarer than its word by a factor that holds at every size; short words lie close to one another.
-            need = 4 if len(w) > 4 or any(c.isdigit() for c in w) else 7
-            if len(w) < 4 and w.isalpha():
-                now = max(now, 2)
-            for pairs, most in ((MISREAD, 3), (MISREAD + MERGED, INSERT_WITHIN)):  # insertions where nothing else leads to a word
-                reached = {w}
-                for _ in range(most):  # fewest edits first
-                    steps = {w_[:a] + p + w_[z:]: (w_, a, z, p) for w_ in sorted(reached) for a, z, p, _ in word_candidates(w_, pairs)}
-                    known = sorted(((self.counts.word(x), x) for x in steps), reverse=True)
-                    good = [x for n, x in known if n >= (3 if now <= 1 else now + need) and self.edit.score(edit_features(*steps[x], self.counts)) > 0]
-                    if good:
-                        out = good[0]
-                        break
-                    reached = set(sorted(steps, key=lambda x: (-self.counts.word(x), -sum(c.isalpha() for c in x), x))[:40])
-                if out != w:
-                    break
+            now, best = self.counts.word(low), 0.0
+            for form, edits in sorted(self.forms.of(low).items()):
+                score = self.edit.score(edit_features(low, form, edits, now, self.counts.word(form)))
+                if score > best:
+                    best, out = score, _with_case(w, edits)
         if len(self._words) > 200_000:
             self._words.clear()
         self._words[w] = out
         return out
 
     def _ideograph(self, window: str) -> str:
+        """The middle ideograph as printed: of the readings that score above keeping it, 0, the one its neighbours know best."""
         if window not in self._windows:
             if len(self._windows) > 200_000:
                 self._windows.clear()
-            p2, p, c, n, n2 = window
-            taken = []
+            c, taken = window[2], []
             for printed in MISREAD_HAN[c]:
-                sides = [self.counts.han(p, printed) - self.counts.han(p, c), self.counts.han(printed, n) - self.counts.han(c, n)]
-                if max(sides) >= 2 and min(sides) >= -2 and (score := self.han.score(han_features(window, printed, self.counts))) > 0:  # of several readings, the one its neighbours know best
-                    known = sum(self.counts.han(*x) for x in ((p, printed), (printed, n), (p2, p, printed), (p, printed, n), (printed, n, n2)))
-                    taken.append((known, score, printed))
+                if (score := self.han.score(han_features(window, printed, self.counts))) > 0:
+                    taken.append((_known(window, printed, self.counts), score, printed))
             self._windows[window] = max(taken)[2] if taken else c
         return self._windows[window]
 
     def read(self, text: str, scanned: bool | None = None) -> tuple[str, bool, bool, bool]:
         """(repaired text, furniture found, split word found, misreading found).
 
-        Characters are edited only in texts with signs of a scan (several lines that join); one line
-        alone is judged by its words only.
+        Characters are edited in every text, also where no line joins another.
         """
         lines = re.split(r"\r?\n|\r", text)
         keep, furniture = lines, False
@@ -316,7 +412,7 @@ class Editor:
                 if i and x.strip()[0].islower() and x.strip()[0].isascii() and not _NUMBER_LINE.fullmatch(x.strip()):
                     marks.append(False)  # running on from the line before
                     continue
-                marks.append(self.line.score(line_features(lines, i, float(self.recurs[_slot(_mask(x))]))) > 0)
+                marks.append(self.line.score(line_features(lines, i, self.seen(x))) > 0)
             furniture = any(marks) and not all(m for m in marks if m is not None)
             if furniture:  # a blank line beside furniture belongs to it
                 keep = [x for i, x in enumerate(lines) if not marks[i] and not (marks[i] is None and (i and marks[i - 1] or i + 1 < len(lines) and marks[i + 1]))]
@@ -331,17 +427,14 @@ class Editor:
             wrapped = True
             if tail[-1] in HYPHENS and tail[-2:-1].isalpha() and right[:1].isalpha():
                 head, rest = re.search(r"[A-Za-zÀ-ÿ]*\Z", tail[:-1]).group(), re.match(r"[A-Za-zÀ-ÿ]*", right).group()
-                apart = tail[-1] == "-" and self.counts.word(head) > 2 and self.counts.word(rest) > 2 and self.counts.word(self._word(head + rest)) < 2
+                apart = tail[-1] == "-" and min(self.counts.word(head), self.counts.word(rest)) > self.counts.word(self._word(head + rest)) + 1
                 out = out + right if apart else out[:-1] + right
                 split = split or not apart
             else:
                 glue = "" if out.count("$") % 2 or _HAN.match(tail[-1]) or _HAN.match(right[0]) or tail[-1] in "，。；：、！？（“‘$" or right[0] in "，。；：、！？）”’$" else " "
                 out += glue + right
         if not wrapped and not furniture:
-            if len(lines) > 1:
-                out = text
-            if len(lines) > 1 or not text:
-                return out, furniture, split, False
+            out = text
         out = _SILENT.sub("", out)  # zero-width characters would hide a word's neighbours
         fixed, misread = out, False
         words = self._outside(out)
@@ -427,23 +520,32 @@ def noised(text: str, rng: random.Random, headers: list[str]) -> tuple[list[tupl
     return marked, breaks
 
 
-def misread(word: str, rng: random.Random, pairs: tuple[tuple[str, str], ...] = MISREAD[:20]) -> tuple[str, int, int, str] | None:
-    """(the word misread, from, to of what was read, printed) at one random place, or None."""
-    options = [(m.start(), read, printed) for read, printed in pairs for m in re.finditer(re.escape(printed), word)]
-    if not options:
-        return None
-    at, read, printed = rng.choice(options)
-    return word[:at] + read + word[at + len(printed) :], at, at + len(read), printed
+def _with_case(w: str, edits: Edits) -> str:
+    """``w`` with the edits made, printed letters in capitals where the word is."""
+    capitals = w.isupper() and sum(c.isalpha() for c in w) > 1
+    for at, read, printed in reversed(edits):
+        w = w[:at] + (printed.upper() if capitals else printed) + w[at + len(read) :]
+    return w
+
+
+def misread(word: str, rng: random.Random, rules: list[tuple[str, str]], most: int = 3) -> str:
+    """The word with one to ``most`` places misread; as it is where no rule applies."""
+    for _ in range(rng.choice([1, 1, 1, 2, 2, 3][: most * 2])):
+        options = [(m.start(), read, printed) for read, printed in rules for m in re.finditer(re.escape(printed), word)]
+        if options:
+            at, read, printed = rng.choice(options)
+            word = word[:at] + read + word[at + len(printed) :]
+    return word
 
 
-def fit(texts: list[str], headers: list[str], counts: Counts, recurs: np.ndarray, seed: int = 5) -> Editor:
-    """Train the stages on noise put into clean texts."""
+def fit(texts: list[str], headers: list[str], counts: Counts, recurs: dict[int, float], rules: list[tuple[str, str]], seed: int = 5) -> Editor:
+    """Train the stages on noise put into clean texts; ``rules`` are the (read, printed) segments of misread words."""
     rng = random.Random(seed)
-    out = Editor(counts, recurs)
+    out = Editor(counts, recurs, rules)
     line, join, edit, han = [], [], [], []
-    common = [h for h in headers if h.strip()][:400] or ["Mock Paper", "SAMPLE", "模拟试题"]
+    common = [h for h in headers if h.strip()] or ["Mock Paper", "SAMPLE", "模拟试题"]
     shapes = [*common, *(h.upper() for h in common if h.isascii()), *(re.sub(r"\s*\d+\s*$", "", h) for h in common)]
-    more, merging = random.Random(seed + 1), random.Random(seed + 2)  # further readings draw apart, so the noise of lines and breaks does not change with their number
+    more = random.Random(seed + 1)  # further readings draw apart, so the noise of lines and breaks does not change with their number
     inverse: dict[str, list[tuple[str, random.Random]]] = {}
     for read, several in MISREAD_HAN.items():
         for printed in several:
@@ -454,41 +556,49 @@ def fit(texts: list[str], headers: list[str], counts: Counts, recurs: np.ndarray
         if len(lines) > 1:
             for i, (x, kind) in enumerate(marked):
                 if x.strip():
-                    line.append((line_features(lines, i, rng.choice([0.004, 0.02, 0.1]) if kind == "furniture" else float(recurs[_slot(_mask(x))])), kind == "furniture"))
+                    line.append((line_features(lines, i, rng.choice([0.004, 0.02, 0.1]) if kind == "furniture" else out.seen(x)), kind == "furniture"))
         kept = [x for x, kind in marked if kind == "text" and x.strip()]
         for _, i in breaks:
             if i + 1 < len(kept):
                 join.append((join_features(kept[i], kept[i + 1], counts, kept), True))
-        words = _WORD.findall(Editor._outside(t))
-        for w in words:
-            for a, z, p, _ in word_candidates(w):
-                edit.append((edit_features(w, a, z, p, counts), False))
-            for draws, pairs in ((rng, MISREAD[:20]), (merging, MERGED)):
-                if draws.random() < 0.25 and len(w) > 3 and (bad := misread(w, draws, pairs)) and bad[0] != w:
-                    # The misread word is rare in print, so its own count is left as the table has it.
-                    edit.append((edit_features(bad[0], *bad[1:], counts), True))
-                    edit += [(edit_features(bad[0], a, z, p, counts), False) for a, z, p, _ in word_candidates(bad[0]) if (a, z, p) != bad[1:]]
         padded = "  " + t + "  "
         for i, c in enumerate(t):
             for printed in MISREAD_HAN.get(c, ()):
                 han.append((han_features(padded[i : i + 5], printed, counts), False))
             for read, draws in inverse.get(c, ()):
-                if draws.random() < 0.3:
-                    han.append((han_features(padded[i : i + 2] + read + padded[i + 3 : i + 5], c, counts), True))
+                window = padded[i : i + 2] + read + padded[i + 3 : i + 5]
+                if draws.random() < 0.6 and _known(window, c, counts) > _known(window, read, counts):  # what is no worse known is no misreading
+                    han.append((han_features(window, c, counts), True))
+    doubtful: list[list[str]] = []
+    tokens = Counter(w for t in texts for w in _WHOLE_WORD.findall(Editor._outside(t).lower()) if not w.isdigit())
+    for w in sorted(tokens):
+        now, weight = counts.word(w), math.ceil(math.sqrt(tokens[w]))  # a misread word among the clean ones weighs less than its printed form
+        stay = [edit_features(w, form, edits, now, counts.word(form)) for form, edits in out.forms.of(w).items()]
+        if tokens[w] > 2:
+            edit += [(f, False) for f in stay] * weight
+        else:
+            doubtful += stay
+        for _ in range(6 * weight if len(w) > 3 and now > 1 else 0):
+            if (bad := misread(w, more, out.forms.rules)) != w:
+                # As rare among its kind as misreadings are, at any size of the table.
+                seen = max(counts.word(bad), round(math.log2(1 + max(1.0, 2.0 ** (now - more.uniform(3, 10))))))
+                if seen < now:  # else another word
+                    edit += [(edit_features(bad, form, edits, seen, counts.word(form)), form == w) for form, edits in out.forms.of(bad).items()]
     # Line breaks that stay: lists, code and separate paragraphs built from the same texts.
     for i in range(0, len(texts) - 2, 2):
         a, b = texts[i][:120], texts[i + 1][:120]
-        listed = [f"({k + 1}) {x}" for k, x in enumerate((a, b))] if i % 4 else [f"{'ABCD'[k]}. {x[:20]}" for k, x in enumerate((a, b))]
+        items = (a, b) if i % 8 < 4 else [re.split(r"(?<=[。.])", x)[0] for x in (a, b)]  # cut short, and whole sentences
+        listed = [f"({k + 1}) {x}" for k, x in enumerate(items)] if i % 4 else [f"{'ABCD'[k]}. {x[:20]}" for k, x in enumerate(items)]
         code = ["for (i = 0; i < n; i++)", "    s += a[i] * 3;", "return s;", "while (p != NULL) {", "    q = p->next;", "}", "count = count + 1;"]
-        for block in (listed, [a, *rng.sample(code, 3)]):
+        for block in (listed, [b, *listed], [a, *rng.sample(code, 3)]):
             for j in range(1, len(block)):
                 join.append((join_features(block[j - 1], block[j], counts, block), False))
             for j in range(len(block)):
                 line.append((line_features(block, j, rng.choice([0.0, 0.004, 0.1])), False))
     out.line.fit(line)
     out.join.fit(join)
-    out.edit.fit(edit, epochs=3)
-    out.han.fit(han or [(["bias"], False)])
+    out.edit.fit(without_doubtful(edit, doubtful, (2.0, 0.5)), margin=(2.0, 0.5))
+    out.han.fit(han, margin=(2.0, 0.5))
     return out
 
 
@@ -504,7 +614,7 @@ def read_scans(df: DataFrame, keys: list[str], text: str, group: str, headers: D
     """
     kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
     rows = spread(df.select(*keys, F.coalesce(F.col(group), F.lit("")).alias("_group"), F.col(text).alias("_text")).where(F.col("_text").rlike(r"\S")))
-    counts, recurs = count_slots(rows.select("_text")), recurring_lines(rows)
+    (counts, words), recurs = tally(rows.select("_text")), recurring_lines(rows)
     clean = rows.where((~F.col("_text").contains("\n")) & F.length("_text").between(40, 600) & ~F.col("_text").rlike("[\x80-\x9f­​-‏﻿�]"))
     n = clean.count()
     rate = min(1.0, TRAIN_TEXTS / max(1, n))
@@ -513,8 +623,8 @@ def read_scans(df: DataFrame, keys: list[str], text: str, group: str, headers: D
     if headers is not None:
         first = headers.columns[0]
         lines = headers.select(F.trim(F.regexp_replace(F.col(first), r"\s*\d+\s*$", "")).alias("_l")).where("_l is not null and _l <> ''")
-        known = [r["_l"] for r in lines.orderBy(F.xxhash64("_l")).limit(400).collect()]
-    editor = fit(sorted({r["_text"] for r in sample}), sorted(set(known)), counts, recurs)
+        known = [r["_l"] for r in lines.orderBy(F.xxhash64("_l")).limit(TRAIN_HEADERS).collect()]
+    editor = fit(sorted({r["_text"] for r in sample}), sorted(set(known)), counts, recurs, [*MISREAD, *MERGED, *learned(words)])
     held = df.sparkSession.sparkContext.broadcast(editor)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

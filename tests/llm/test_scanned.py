@@ -80,6 +80,50 @@ def test_two_letters_read_as_one_are_put_back(spark):
     assert not any(got[k]["misread"] for k, *_ in clean)
 
 
+def test_misreadings_of_no_list_are_learned(spark):
+    rng = random.Random(9)
+    words = "markets kitchen workshop blanket tracking speaker bookcase network backward thickness".split()
+    clean = [(f"c{i}", f"p{i % 20}", f"{sentence(rng)} The {rng.choice(words)} and the {rng.choice(words)} stand by the {rng.choice(words)}.") for i in range(500)]
+    bad = [(f"b{i}", f"p{i}", f"The {w.replace('k', 'x')} will protect the people of the village.") for i, w in enumerate(words)]
+    assert ("x", "k") not in scanned.MISREAD
+    df = spark.createDataFrame(clean + bad, "k string, paper string, t string")
+    got = {r["k"]: r for r in scanned.read_scans(df, ["k"], "t", "paper").collect()}
+    assert [got[f"b{i}"]["repaired"] for i in range(len(words))] == [f"The {w} will protect the people of the village." for w in words]
+    assert not any(got[k]["misread"] for k, *_ in clean)
+
+
+def test_long_words_and_lists_are_edited_too(spark):
+    rng = random.Random(11)
+    clean = [(f"c{i}", f"p{i % 20}", f"{sentence(rng)} Responsibilities and communication remain.") for i in range(400)]
+    bad = [("b1", "p1", "The resp0nsi6ilitie5 of the vil1age remain."), ("b2", "p1", "(1) The library will remember the peop1e.\n(2) The teacher will follow the rnarket.")]
+    df = spark.createDataFrame(clean + bad, "k string, paper string, t string")
+    got = {r["k"]: r for r in scanned.read_scans(df, ["k"], "t", "paper").collect()}
+    assert got["b1"]["repaired"] == "The responsibilities of the village remain."
+    assert got["b2"]["repaired"] == "(1) The library will remember the people.\n(2) The teacher will follow the market."
+    assert got["b1"]["misread"] and got["b2"]["misread"] and not got["b2"]["split_word"]
+
+
+def test_every_form_that_edits_reach_is_found():
+    rng = random.Random(2)
+    rules = [("rn", "m"), ("m", "rn"), ("1", "l"), ("c", "e"), ("ii", "u")]
+    vocabulary = {"".join(rng.choice("rnmelu") for _ in range(rng.randint(2, 6))): 5 for _ in range(300)}
+    forms = scanned.Forms(scanned.Counts(vocabulary, __import__("numpy").zeros(0, "int64"), __import__("numpy").zeros(0)), rules)
+
+    def brute(w):
+        if not w:
+            return {""}
+        out = {w[0] + x for x in brute(w[1:])}
+        for read, printed in rules:
+            if w.startswith(read):
+                out |= {printed + x for x in brute(w[len(read) :])}
+        return out
+
+    for _ in range(200):
+        w = "".join(rng.choice("rnmc1ii") for _ in range(rng.randint(1, 7)))
+        assert set(forms.of(w)) == (brute(w) & set(vocabulary)) - {w}
+    assert scanned.operation("rn", "m") == "delete" and scanned.operation("m", "rn") == "insert" and scanned.operation("1", "l") == "replace"
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "k string, paper string, t string")
     assert scanned.read_scans(df, ["k"], "t", "paper").count() == 0
