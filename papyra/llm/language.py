@@ -35,22 +35,23 @@ NAMES = {
 }
 # Frequent function words, the labelled text that is always at hand.
 FUNCTION_WORDS = {
-    "en": "the of and to in that is was for it with as on by had not but from they which have were their this who there than what when whose so the an and the of the in the by the one some many if although before after until nor neither because while yet few then according",
-    "fr": "le la les de des du et un une que qui dans pour pas sur avec ce cette nous est sont mais chaque sans encore depuis longtemps au aux par plus",
-    "de": "der die das und ist nicht ein eine den dem des mit sich auf für von zu auch sondern nur jede seit vielen Jahren obwohl wir noch nach bei",
-    "es": "el la los las de del y un una que en por con para no se es esta este sin nadie desde hace mucho tiempo pero sobre como más cada al ya",
-    "zh": "的 是 在 了 和 不 有 这 也 都 与 而 既要 如果 那么 面对 随着 从 看 大约 其余 只有 才能 无论 怎样 文章 认为 人们 因为",
-    "ja": "の は が を に と で も です ます している について この ある という から まで する された いる ので しかし",
+    "en": "the of and to a in is was he for it with as his on be at by this had not but from or have an they which you were her all she there would their we him been has when who will more no if out so what up about into than them can only other could these may then do any my such our over most also many before must through where should because each how",
+    "fr": "le la les un une des du de au aux ce cet cette ces mon ma mes ton son sa ses notre nos votre leur leurs je tu il elle nous vous ils elles on qui que quoi dont où et ou mais donc car ne pas plus moins très bien avec sans pour par dans sur sous entre vers chez est sont était être avoir ont avait comme si quand alors aussi tout tous toute même",
+    "de": "der die das den dem des ein eine einen einem einer und oder aber denn weil dass wenn als wie wo was wer ich du er sie es wir ihr mich sich uns mein sein unser nicht kein keine noch schon auch nur sehr mehr in im an am auf aus bei mit nach von vom zu zum zur über unter vor durch für gegen ohne um ist sind war waren wird werden hat haben kann muss",
+    "es": "el la los las un una unos unas de del al y o pero sino que quien cual cuando donde como porque si no ni ya muy más menos también tan todo toda todos yo él ella nosotros ellos me te se nos lo le les mi tu su sus nuestro este esta estos ese esa aquel en con sin por para sobre entre hasta es son era fue ser estar está están ha han hay tiene puede",
+    "zh": "的 一 是 不 了 在 人 有 我 他 这 个 们 中 来 上 大 为 和 国 地 到 以 说 时 要 就 出 会 可 也 你 对 生 能 而 子 那 得 于 着 下 自 之 年 过 发 后 作 里 因为 所以 如果 虽然 但是 我们 他们 没有 可以 这些",
+    "ja": "の に は を た が で て と し れ さ ある いる も する から な こと として や れる など なっ ない この ため その よう また もの という あり まで られ なる へ か だ これ によって により おり による です ます ました ません でした している",
 }
 #: Labelled segments taken for training, at most this many of each declared language.
 TRAIN_SEGMENTS = 1000
 #: A labelled row stays in training if the machines of the round before agree with at least this confidence.
-SURE = 0.7
+SURE = 0.8
 #: Hash space of the features.
 DIMS = 1 << 15
-#: Words a segment needs to count as a full sentence of its language (characters / 1.5 in East Asian scripts).
-SENTENCE_WORDS = 5
-_CONFIDENT = 0.5
+#: Words that neighbouring segments of one language need to count as a full sentence of it (characters / 1.5 in East Asian scripts), and a single one that ends as a sentence does.
+SENTENCE_WORDS, CLOSED_WORDS = 5, 4
+_CONFIDENT, _CERTAIN = 0.5, 0.8
+_CLOSED = re.compile(r"[.。！？!?][”’」』\"')）]*\s*$")
 
 _SEGMENT = re.compile(r"(?<=[。！？!?])[”’」』\"')）]*|(?<=[.])[”’\"')]*(?=[\s（(])|\n+|(?=（)|(?<=）)|(?=\s\()|(?<=\))(?=\s)|(?<=[.。])(?=[^\s\d.。”’」』\"')）])")
 
@@ -209,7 +210,7 @@ def train(df: DataFrame, text: str, lang: str, most: int = TRAIN_SEGMENTS) -> Se
     labelled: list[tuple[str, str]] = []
     left = dict.fromkeys(LANGUAGES, most)
     for r in sorted(chosen, key=lambda r: (r["_l"], r["_t"])):
-        for s in segments(r["_t"])[:2]:
+        for s in segments(r["_t"]):
             if left[r["_l"]] > 0:
                 left[r["_l"]] -= 1
                 labelled.append((s, r["_l"]))
@@ -249,9 +250,9 @@ TEXTS = "main_lang string, langs array<string>, confidence double, mixed boolean
 def label_texts(df: DataFrame, keys: list[str], text: str, machines: Separator) -> DataFrame:
     """One row for each text: main language, all languages with a full sentence, confidence, mixed.
 
-    The words of consecutive segments of one language are counted together with their neighbours of
-    the same language, so a text of several short sentences is not lost; a language other than the
-    main one counts only with a segment of SENTENCE_WORDS words or more, so single foreign words and
+    The words of neighbouring segments of one language are counted together, so a text of several short
+    sentences is not lost; a language other than the main one counts only with SENTENCE_WORDS such
+    words, or with CLOSED_WORDS in a segment that ends as a sentence, so single foreign words and
     titles do not make a text mixed. Null texts, blank ones and those without words have null
     languages, an empty list and confidence 0. Repeated rows give repeated rows.
     """
@@ -270,13 +271,16 @@ def label_texts(df: DataFrame, keys: list[str], text: str, machines: Separator)
                 weight: dict[str, float] = {}
                 sure: dict[str, float] = {}
                 full: set[str] = set()
-                for k, p, n in mine:
+                run: tuple[str | None, float] = (None, 0.0)
+                for (k, p, n), s in zip(mine, c, strict=True):
                     if k is None:
                         continue
                     weight[k] = weight.get(k, 0.0) + n
                     sure[k] = sure.get(k, 0.0) + n * p
-                    if n >= SENTENCE_WORDS and p >= _CONFIDENT:
-                        full.add(k)
+                    if p >= _CONFIDENT:
+                        run = (k, n + run[1] * (run[0] == k))
+                        if run[1] >= SENTENCE_WORDS or n >= CLOSED_WORDS and p >= _CERTAIN and _CLOSED.search(s):
+                            full.add(k)
                 if not weight:
                     rows.append((None, [], 0.0, False))
                     continue

@@ -4,15 +4,42 @@ import random
 
 from papyra.llm import language
 
+# Two sentences a language, in wordings of their own.
 TEXTS = {
     "en": ["The weather in the north was colder than they had expected.", "Some of the children and their teachers went to the library by the river."],
-    "fr": ["Depuis longtemps, les enfants et leurs professeurs vont à la bibliothèque près de la rivière.", "Cette ville est plus grande que celle que nous avons connue dans le sud."],
-    "de": ["Seit vielen Jahren gehen die Kinder und ihre Lehrer in die Bibliothek am Fluss.", "Das Wetter im Norden ist nicht so warm, wie wir es noch kennen."],
-    "es": ["Desde hace mucho tiempo los niños y sus maestros van a la biblioteca cerca del río.", "El clima en el norte es más frío que en esta ciudad, pero no hay nadie."],
-    "zh": ["随着社会的发展，人们逐渐改变了对教育的看法。", "这一政策不仅要保护环境，而且要促进经济。"],
-    "ja": ["この町の図書館はとても静かで、子どもたちがよく本を読んでいます。", "天気が寒くなると、山の風景が変わることがわかります。"],
-    "ru": ["Многие думают, что погода на севере стала холоднее.", "Эта старая библиотека по-прежнему стоит у реки."],
+    "fr": ["Le boulanger ouvre sa boutique très tôt, puis il prépare du pain pour tout le quartier.", "Hier soir, mes voisins ont oublié leurs clés et ils ont dû attendre dehors."],
+    "de": ["Der Bäcker öffnet seinen Laden sehr früh und backt Brot für die ganze Straße.", "Gestern Abend haben meine Nachbarn ihre Schlüssel vergessen und mussten draußen warten."],
+    "es": ["El panadero abre su tienda muy temprano y prepara pan para todo el barrio.", "Anoche mis vecinos olvidaron sus llaves y tuvieron que esperar fuera."],
+    "zh": ["面包师很早就开门，为整条街的邻居做面包。", "昨天晚上我的邻居忘了带钥匙，只好在外面等。"],
+    "ja": ["パン屋さんは朝早く店を開けて、町のみんなのためにパンを焼きます。", "昨日の夜、隣の人が鍵を忘れて、外で待たなければなりませんでした。"],
+    "ru": ["Пекарь открывает свою лавку очень рано и печёт хлеб для всей улицы.", "Вчера вечером соседи забыли ключи и ждали на улице."],
 }
+# Sentences that no machine is trained on.
+HELD_OUT = {
+    "en": ["My brother bought two tickets, but nobody wanted to come with him.", "Does this road lead to the old harbour?", "We were tired, so we slept until noon."],
+    "fr": ["Mon frère a acheté deux billets, mais personne ne voulait venir avec lui.", "Est-ce que cette route mène au vieux port ?", "Nous étions fatigués, alors nous avons dormi jusqu'à midi."],
+    "de": ["Mein Bruder hat zwei Karten gekauft, aber niemand wollte mitkommen.", "Führt diese Straße zum alten Hafen?", "Wir waren müde und haben bis zum Mittag geschlafen."],
+    "es": ["Mi hermano compró dos entradas, pero ninguno de sus amigos quiso ir con él.", "¿Este camino lleva al puerto viejo?", "Estábamos cansados, así que dormimos hasta el mediodía."],
+    "zh": ["我哥哥买了两张票，可是没有人愿意跟他去。", "这条路通到老港口吗？", "我们很累，所以一直睡到中午。"],
+    "ja": ["兄は切符を二枚買いましたが、誰も一緒に行きたがりませんでした。", "この道は古い港に続いていますか。", "とても疲れていたので、昼まで寝ていました。"],
+    "ru": ["Мой брат купил два билета, но никто не хотел идти с ним.", "Эта дорога ведёт к старому порту?", "Мы устали и спали до полудня."],
+}
+
+
+def test_sentences_of_other_wording():
+    m = language.Separator().fit([(t[i], k) for k, t in TEXTS.items() for i in (0, 1)])
+    asked = [(k, s) for k, ss in HELD_OUT.items() for s in ss]
+    right = [k == m.tell([s])[0][0] for k, s in asked]
+    assert sum(right) >= 0.95 * len(right), [x for x, ok in zip(asked, right, strict=True) if not ok]
+
+
+def test_short_sentences_count_as_a_language(spark):
+    text = HELD_OUT["zh"][0] + "Он устал. Мы спали. Они ждали долго." + HELD_OUT["zh"][2]
+    rows = [("short", text, "zh"), ("closed", HELD_OUT["fr"][0] + " Соседи забыли свои ключи.", "fr"), ("word", HELD_OUT["fr"][0] + " (Спутник.)", "fr")]
+    rows += [(f"x{i}", t[i % 2], k) for i in range(20) for k, t in TEXTS.items()]
+    df = spark.createDataFrame(rows, "k string, t string, l string")
+    got = {r["k"]: r["langs"] for r in language.label_texts(df, ["k"], "t", language.train(df, "t", "l")).collect()}
+    assert [got[k] for k in ("short", "closed", "word")] == [["ru", "zh"], ["fr", "ru"], ["fr"]]
 
 
 def test_separates_held_out_sentences_despite_wrong_labels():
