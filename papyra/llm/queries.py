@@ -92,9 +92,14 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return labels.select(*_TRANSLATION, F.explode("langs").alias("lang")).distinct()
 
 
+def p7_overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and test items with the overlap of the item's passage and question."""
+    return find_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"), "doc_id", "text", "item_id", "text")
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that contain a full sentence of a test item, with the item."""
-    return find_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"), "doc_id", "text", "item_id", "text")
+    return p7_overlaps(spark, sf).where("sentences > 0").select("doc_id", "item_id").distinct()
 
 
 def p7_items(spark: SparkSession, sf: str) -> DataFrame:
@@ -127,5 +132,5 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return split_texts(table(spark, sf, "documents"), "doc_id", "text", with_text=False).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p3_found, p3_posteriors, p3_repaired, p4_found, p4_repaired, p6_found, p6_labels, p6_segments, p7_found, p7_items, p8_mix, p8_uses, p8_shares, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p3_found, p3_posteriors, p3_repaired, p4_found, p4_repaired, p6_found, p6_labels, p6_segments, p7_found, p7_items, p7_overlaps, p8_mix, p8_uses, p8_shares, p9_found, p9_pieces)}
 SQL: dict[str, str] = {}
