@@ -34,17 +34,22 @@ CHAINS = (
 )
 NAMES = [c[0] for c in CHAINS]
 #: Log-likelihood a repaired stretch must gain to pay for being one.
-STRETCH_COST = 3.0
-#: Evidence of characters that no text holds: replacement characters, unassigned and private ones.
-LOST_EVIDENCE = 25.0
+STRETCH_COST = 6.0
 FLOOR = -18.0
+#: Log-probability of a character that no text holds (replacement, unassigned, private) in a text that lost some.
+LOST_CHARACTER = -3.0
 _HAN = "㐀-鿿"
 
 
 @lru_cache(maxsize=1)
-def _unreadable() -> re.Pattern[str]:
+def _unreadable_codes() -> np.ndarray:
     """Characters that no text holds: the replacement character, unassigned and private ones."""
-    bad = [o for o in range(0x370, 0x110000) if unicodedata.category(chr(o)) in ("Cn", "Co")]
+    return np.array([0xFFFD, *(o for o in range(0x370, 0x110000) if unicodedata.category(chr(o)) in ("Cn", "Co"))])
+
+
+@lru_cache(maxsize=1)
+def _unreadable() -> re.Pattern[str]:
+    bad = _unreadable_codes()[1:].tolist()
     runs, start = [], None
     for a, b in zip(bad, [*bad[1:], -1], strict=True):
         start = a if start is None else start
@@ -84,7 +89,7 @@ def _pattern(e: str, d: str) -> re.Pattern[str]:
         c = cls(0x80, 0xBF)
         return re.compile(f"(?:{cls(0xC2, 0xDF)}{c}|{cls(0xE0, 0xEF)}{c}{c}|{cls(0xF0, 0xF4)}{c}{c}{c})+")
     if e == "gb18030":
-        return re.compile(cls(0xA1, 0xFE) + "{2,}")  # the text must also hold a longer run, see proposals
+        return re.compile(cls(0xA1, 0xFE) + "{2,}")
     return re.compile(cls(0x80, 0xFF))
 
 
@@ -99,11 +104,33 @@ def _decode(stretch: str, e: str, d: str) -> str | None:
         if e == "gb18030" and len(stretch) > 2:
             return next((x + stretch[-1] for x in [_decode(stretch[:-1], e, d)] if x), None)
         return None
-    if out == stretch or any(c < " " and c not in "\t\n\r" for c in out):
+    if out == stretch or any(c < " " and c not in "\t\n\r" for c in out) or any(c != "�" for c in _unreadable().findall(out)):
         return None
     return out
 
 
+_UTF8_RUN = re.compile(rb"(?:[\xe0-\xef][\x80-\xbf]{2}){2,}")  # of three bytes each: sequences of two are common ideographs
+
+
+def _within(stretch: str) -> tuple[str, int]:
+    """(the stretch with the UTF-8 sequences undone that were read as GBK between characters that were not, their runs)."""
+    raw = stretch.encode("gb18030", "replace")
+    starts = {0: 0}
+    at = 0
+    for i, c in enumerate(stretch, 1):
+        at += len(c.encode("gb18030", "replace"))
+        starts[at] = i
+    out, done, n = "", 0, 0
+    for m in _UTF8_RUN.finditer(raw):
+        a, z = m.span()
+        while a < z and a not in starts:  # begin and end where a character and a sequence do
+            a += 3
+        z = next((x for x in range(z, a, -3) if x in starts), a)
+        if z - a >= 6:
+            out, done, n = out + stretch[done : starts[a]] + raw[a:z].decode("utf-8", "replace"), starts[z], n + 1
+    return out + stretch[done:], n
+
+
 def invert(text: str, e: str, d: str) -> tuple[str, int]:
     """(the text with every stretch that can be undone undone, number of such stretches)."""
     n = 0
@@ -112,6 +139,10 @@ def invert(text: str, e: str, d: str) -> tuple[str, int]:
         nonlocal n
         out = _decode(m.group(), e, d)
         if out is None:
+            if e == "utf-8" and d == "gb18030" and len(m.group()) > 2:
+                out, k = _within(m.group())
+                n += k
+                return out
             return m.group()
         n += 1
         return out
@@ -126,9 +157,6 @@ def _needs(e: str, d: str) -> frozenset[str]:
     return frozenset(chr(o) for o, b in _bytes_of(d).items() if b >= least)
 
 
-_LONG = re.compile(r"[^\x00-\x7f　-ヿ㐀-鿿＀-￯]{4,}")
-
-
 def proposals(text: str) -> dict[int, tuple[str, int]]:
     """chain -> (what the text would have been, stretches) for every chain that can explain it."""
     if text.isascii():
@@ -137,7 +165,7 @@ def proposals(text: str) -> dict[int, tuple[str, int]]:
     for k, (_, e, d, times) in enumerate(CHAINS[:-1]):
         if d == "gb18030":
             got = _swallowed(text) if e == "cp1252" else invert(text, e, d)
-        elif _needs(e, d).isdisjoint(chars) or e == "gb18030" and not _LONG.search(text):
+        elif _needs(e, d).isdisjoint(chars):
             continue
         else:
             got = invert(text, e, d)
@@ -172,7 +200,7 @@ def _swallowed(text: str) -> tuple[str, int]:
 
 @lru_cache(maxsize=1)
 def _kinds() -> np.ndarray:
-    """Class of each code point: blank, ASCII letter, digit, ASCII mark, other Latin letter, Han, kana, CJK mark, other letter, other."""
+    """Class of each code point: blank, ASCII letter, digit, ASCII mark, other Latin letter, Han, kana, CJK mark, other letter, other, raised and lowered digits."""
     k = np.full(0x110000, 9, np.uint8)
     for o in range(0x250):
         c = chr(o)
@@ -185,29 +213,51 @@ def _kinds() -> np.ndarray:
     k[0x3400:0xA000] = 5
     k[0xF900:0xFB00] = 5
     k[0xFF00:0xFF70] = 7
+    k[[o for o in range(0x80, 0x2190) if unicodedata.category(chr(o)) == "No"]] = 10
     return k
 
 
+#: Classes, and the number that stands for a text's start.
+_KINDS = 11
+
+
 class CleanText:
     """Log-probability of text: class after class, and character within its class."""
 
     def __init__(self, chars: dict[int, int], steps: dict[tuple[int, int], int]):
         kinds = _kinds()
-        self.step = np.full((11, 10), 0.5)
+        self.step = np.full((_KINDS + 1, _KINDS), 0.5)
         for (a, b), n in steps.items():
             self.step[a, b] += n
         self.step = np.log(self.step / self.step.sum(1, keepdims=True))
-        totals = np.full(10, 100.0)
+        totals = np.full(_KINDS, 100.0)
         for o, n in chars.items():
             totals[kinds[o]] += n
-        self.char = np.full(0x110000, FLOOR, np.float32)
+        # What occurs nowhere has the share of what occurs once, spread over the rest of its class.
+        once, sizes = np.ones(_KINDS), np.bincount(kinds, minlength=_KINDS).astype(float)
         for o, n in chars.items():
-            self.char[o] = max(FLOOR, np.log(n / totals[kinds[o]]))
+            once[kinds[o]] += n == 1
+            sizes[kinds[o]] -= 1
+        unseen = np.maximum(FLOOR, np.log(once / totals / np.maximum(sizes, 1)))
+        self.char = unseen[kinds].astype(np.float32)
+        self.char[_unreadable_codes()] = FLOOR
+        for o, n in chars.items():
+            self.char[o] = max(unseen[kinds[o]], np.log(n / totals[kinds[o]]))
 
     def score(self, text: str) -> float:
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         k = _kinds()[codes].astype(int)
-        return float(self.char[codes].sum() + self.step[np.concatenate([[10], k[:-1]]), k].sum()) if len(k) else 0.0
+        return float(self.char[codes].sum() + self.step[np.concatenate([[_KINDS], k[:-1]]), k].sum()) if len(k) else 0.0
+
+    def lost(self, text: str) -> float:
+        """Log-probability of a text that lost characters: those that no text holds stand for what they were."""
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        k = _kinds()[codes].astype(int)
+        each = self.char[codes] + self.step[np.concatenate([[_KINDS], k[:-1]]), k]
+        gone = np.zeros(len(codes), bool)
+        gone[[i for m in _unreadable().finditer(text) for i in range(*m.span())]] = True
+        after = np.concatenate([[False], gone[:-1]])  # nothing is known of what follows one
+        return float(np.where(gone, LOST_CHARACTER, np.where(after, self.char[codes], each)).sum())
 
     def evidence(self, text: str) -> list[float] | None:
         """Log-likelihood ratio of each chain, or None if no chain can explain the text."""
@@ -217,7 +267,7 @@ class CleanText:
         now = self.score(text)
         out = [-1e3] * len(CHAINS)
         for k, (was, n) in found.items():
-            out[k] = LOST_EVIDENCE if k == len(CHAINS) - 1 else self.score(was) - now - STRETCH_COST * n
+            out[k] = self.lost(was) - now - STRETCH_COST * n
         return out
 
 
@@ -236,8 +286,8 @@ def scan(rows: DataFrame, columns: list[str], kinds: str) -> DataFrame:
                 o, n = np.unique(codes, return_counts=True)
                 chars.update(dict(zip(o.tolist(), n.tolist(), strict=True)))
                 k = of[codes].astype(int)
-                before = np.where(codes[:-1] == 0, 10, k[:-1])
-                pairs = np.bincount((before * 10 + k[1:])[codes[1:] != 0], minlength=110)
+                before = np.where(codes[:-1] == 0, _KINDS, k[:-1])
+                pairs = np.bincount((before * _KINDS + k[1:])[codes[1:] != 0])
                 steps.update({i: int(pairs[i]) for i in np.flatnonzero(pairs)})
             at = np.flatnonzero(odd)
             if len(at):
@@ -257,15 +307,16 @@ def clean_model(scanned: DataFrame) -> CleanText:
     Its size is bounded by Unicode: one count for each code point that occurs, and class pairs.
     """
     counts = scanned.where("kind < 2").groupBy("kind", "at").agg(F.sum("n").alias("n")).collect()
-    return CleanText({r["at"]: r["n"] for r in counts if r["kind"] == 0}, {(r["at"] // 10, r["at"] % 10): r["n"] for r in counts if r["kind"] == 1})
+    return CleanText({r["at"]: r["n"] for r in counts if r["kind"] == 0}, {(r["at"] // _KINDS, r["at"] % _KINDS): r["n"] for r in counts if r["kind"] == 1})
 
 
-def posteriors(df: DataFrame, key: str, text: str, source: list[str], rounds: int = 4, weight: float = 2.0) -> DataFrame:
+def posteriors(df: DataFrame, key: str, text: str, source: list[str], rounds: int = 8, weight: float = 2.0, settled: float = 1e-6) -> DataFrame:
     """(key, source columns, chain, probability): the most probable chain of each record that some chain explains.
 
     ``chain`` is null where the record is more probably clean. Null, empty and ASCII texts are clean
     and give no row; repeated rows count once. Rows of a source without a value form one source.
-    ``weight`` is the pull of the whole table's shares on each source's.
+    ``weight`` is the pull of the whole table's shares on each source's. The rounds end when no share of
+    the whole table moves by more than ``settled``.
     """
     rows = df.select(F.col(key).alias("_k"), *[F.coalesce(F.col(s), F.lit("")).alias(f"_s{i}") for i, s in enumerate(source)], F.col(text).alias("_text"))
     rows = spread(rows.where(F.length("_text") > 0))
@@ -299,12 +350,14 @@ def posteriors(df: DataFrame, key: str, text: str, source: list[str], rounds: in
         odds = odds.withColumn("_z", total)
         sums = odds.groupBy(*by).agg(*[F.sum(F.col(f"_w{i}") / F.col("_z")).alias(f"_r{i}") for i in range(len(columns))])
         whole = sums.agg(*[F.sum(f"_r{i}").alias(f"_r{i}") for i in range(len(columns))]).first()
-        share = {c: ((whole[f"_r{i}"] or 0.0) + 0.01) / (n_rows + 0.01 * len(columns) + 1) for i, c in enumerate(columns)}
+        before, share = share, {c: ((whole[f"_r{i}"] or 0.0) + 0.01) / (n_rows + 0.01 * len(columns) + 1) for i, c in enumerate(columns)}
         known = sums.join(sizes, by)
         shares = {f"_p{i}": (F.col(f"_r{i}") + weight * share[c]) / (F.col("_n") + weight) for i, c in enumerate(columns)}
         rest = sum(shares.values(), F.lit(0.0))
         local = known.select(*by, *[v.alias(k) for k, v in shares.items()], F.greatest(1 - rest, F.lit(1e-6)).alias("_p"))
         local = cut(local)
+        if max(abs(share[c] - before[c]) for c in columns) < settled:
+            break
     final = seen.join(local, by)
     scores = F.array(*[F.struct((F.col(c) + F.log(F.col(f"_p{i}"))).alias("v"), F.lit(NAMES[i]).alias("chain")) for i, c in enumerate(columns)])
     final = final.withColumn("_best", F.array_max(scores)).withColumn("_clean", F.log("_p"))
