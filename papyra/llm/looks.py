@@ -16,30 +16,39 @@ def consistent_text(texts: pa.Array) -> pa.Array:
     return consistent(texts)
 
 
-
-
 def with_consistent(df: DataFrame, text: str, out: str) -> DataFrame:
     """Add ``out``, the consistent form of ``text``."""
     return df.withColumn(out, consistent_text(F.col(text)))
 
 
-def same_looks_pairs(df: DataFrame, keys: list[str], id_col: str, text: str) -> DataFrame:
-    """(keys, id_a, id_b): different ids of one group whose texts differ but look the same.
+def look_classes(df: DataFrame, keys: list[str], id_col: str, text: str) -> DataFrame:
+    """(keys, class, variant, id, variants, members, links): ids whose text looks like a different text of its group.
 
-    Texts are carried as 128-bit digests after the consistent form is made, so the shuffles hold
-    no text. Only classes with at least two different texts go on to the join, which pairs the
-    members of different texts (exact copies are never paired). The join is on the class; a hot
-    class is split by adaptive skew handling, since both sides are shuffled plainly.
-    Null texts take no part; empty texts are equal and so give no pairs; repeated rows count once;
-    columns other than those named are ignored.
+    ``class`` is the same for texts that look the same, ``variant`` for equal texts; ``links`` counts the
+    ids that look the same but differ in characters. One row an id, whatever the size of a class: each
+    text is carried as a 128-bit digest after the consistent form is made, so the shuffles hold no text,
+    and members are counted by variant, so a class of many copies is summed up before it is shuffled.
+    Null texts take no part; equal texts are no link, so empty ones have none; repeated rows count once;
+    an id with several texts has a row for each; columns other than those named are ignored.
     """
-    rows = df.select(*keys, F.col(id_col).alias("_id"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
+    rows = df.select(*keys, F.col(id_col).alias("id"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
     rows = rows.withColumn("_form", consistent_text("_text"))
-    digest = lambda c: F.struct(F.xxhash64(c), F.hash(c), F.length(c))
-    rows = rows.select(*keys, "_id", digest(F.col("_form")).alias("_class"), digest(F.col("_text")).alias("_own")).distinct()
-    group = [*keys, "_class"]
-    mixed = rows.groupBy(*group).agg(F.min("_own").alias("_lo"), F.max("_own").alias("_hi")).where("_lo <> _hi").select(*group)
-    members = rows.join(mixed, group, "left_semi")
-    b = members.select(*group, F.col("_id").alias("id_b"), F.col("_own").alias("_other"))
-    a = members.withColumnRenamed("_id", "id_a")
+    digest = lambda c: F.struct(F.xxhash64(c).alias("a"), F.hash(c).alias("b"), F.length(c).alias("n"))
+    rows = rows.select(*keys, digest(F.col("_form")).alias("class"), digest(F.col("_text")).alias("variant"), "id").distinct()
+    group = [*keys, "class"]
+    sizes = rows.groupBy(*group, "variant").agg(F.count("*").alias("_own"))
+    whole = sizes.groupBy(*group).agg(F.count("*").alias("variants"), F.sum("_own").alias("members")).where("variants > 1")
+    counted = sizes.join(whole, group).withColumn("links", F.col("members") - F.col("_own")).drop("_own")
+    return rows.join(counted, [*group, "variant"])
+
+
+def same_looks_pairs(classes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, id_a, id_b): the pairs of different ids that ``look_classes`` links, id_a < id_b.
+
+    Their number is that of the links, which grows with the square of a class; members of one variant
+    are never paired. A hot class is split by adaptive skew handling, as both sides are shuffled plainly.
+    """
+    group = [*keys, "class"]
+    a = classes.select(*group, F.col("variant").alias("_own"), F.col("id").alias("id_a"))
+    b = classes.select(*group, F.col("variant").alias("_other"), F.col("id").alias("id_b"))
     return a.join(b, group).where("_own <> _other and id_a < id_b").select(*keys, "id_a", "id_b").distinct()

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from papyra.llm.tokens import TOKENIZER, with_tokens
 from papyra.session import cut, maybe_broadcast, spread
 
-#: Hash buckets of one (source, size class); a third of all rows in one source still splits this far.
-BUCKETS = 64
+#: Documents of one (source, size class) that share a hash bucket, about; larger classes have more buckets.
+CELL_ROWS = 20_000
 #: Rows of the target table; beyond it the targets are data, not a plan.
 MAX_SOURCES = 10_000
 
@@ -57,7 +57,9 @@ def mix(docs: DataFrame, targets: DataFrame, key: str, text: str, source: str =
     named = docs.select(F.col(key).alias("_k"), F.col(source).alias("_s"), F.col(text).alias("_t"))
     named = named.join(maybe_broadcast(want.select(F.col("source").alias("_s")), 200), "_s", "left_semi").where(F.octet_length("_t") > 0)
     sized = cut(with_tokens(spread(named), "_t", "_n", path).select("_k", "_s", "_n").where("_n > 0"))
-    cells = sized.withColumn("_c", F.floor(F.log2("_n") * 4).cast("int")).withColumn("_h", F.pmod(F.xxhash64("_k"), F.lit(BUCKETS)).cast("int"))
+    classed = sized.withColumn("_c", F.floor(F.log2("_n") * 4).cast("int"))
+    buckets = classed.groupBy("_s", "_c").agg(F.ceil(F.count("*") / CELL_ROWS).alias("_b"))
+    cells = classed.join(maybe_broadcast(buckets, 100), ["_s", "_c"]).withColumn("_h", F.pmod(F.xxhash64("_k"), F.col("_b")).cast("int")).drop("_b")
     counts = cells.groupBy("_s", "_c", "_h").agg(F.count("*").alias("_d"), F.sum("_n").alias("_tokens"))
     sizes = {r["_s"]: r["t"] for r in counts.groupBy("_s").agg(F.sum("_tokens").alias("t")).collect()}  # a row for each target at most
     rates = plan(sizes, [(r["source"], r["target_share"], r["max_repeats"]) for r in plan_rows], total)

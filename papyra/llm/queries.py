@@ -24,11 +24,18 @@ def _fields(spark: SparkSession, sf: str, *fields: tuple[str, str]) -> DataFrame
     return out
 
 
+_P1_KEYS = ["field_name", "paper_id"]
+
+
+def p1_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """One row for each id whose text looks like a different one of its field and paper: class, variant and number of links."""
+    both = _fields(spark, sf, ("source_blocks", "text"), ("options", "text"))
+    return looks.look_classes(spread(both), _P1_KEYS, "id", "text")
+
+
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of ids of one field and paper whose texts differ in characters but look the same."""
-    both = _fields(spark, sf, ("source_blocks", "text"), ("options", "text"))
-    pairs = looks.same_looks_pairs(spread(both), ["field_name", "paper_id"], "id", "text")
-    return pairs.select("field_name", "id_a", "id_b")
+    return looks.same_looks_pairs(p1_classes(spark, sf), _P1_KEYS).select("field_name", "id_a", "id_b")
 
 
 def p1_consistent(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,14 +114,14 @@ def p7_items(spark: SparkSession, sf: str) -> DataFrame:
     return p7_found(spark, sf).groupBy("item_id").agg(F.count("*").alias("documents"))
 
 
-def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
+def p8_copies(spark: SparkSession, sf: str) -> DataFrame:
     """Every document of a targeted source with the number of copies it has in the mix, 0 if none."""
     return mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"), "doc_id", "text")[0]
 
 
-def p8_uses(spark: SparkSession, sf: str) -> DataFrame:
+def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
     """The mix itself: one row for each use of a document."""
-    return uses(p8_mix(spark, sf))
+    return uses(p8_copies(spark, sf))
 
 
 def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
@@ -132,5 +139,5 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return split_texts(table(spark, sf, "documents"), "doc_id", "text", with_text=False).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p3_found, p3_posteriors, p3_repaired, p4_found, p4_repaired, p6_found, p6_labels, p6_segments, p7_found, p7_items, p7_overlaps, p8_mix, p8_uses, p8_shares, p9_found, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p1_consistent, p3_found, p3_posteriors, p3_repaired, p4_found, p4_repaired, p6_found, p6_labels, p6_segments, p7_found, p7_items, p7_overlaps, p8_mix, p8_copies, p8_shares, p9_found, p9_pieces)}
 SQL: dict[str, str] = {}

@@ -33,10 +33,11 @@ SLACK = 8
 
 
 def _atoms(text: str, first: list[int], limit: int) -> list[tuple[int, int]]:
-    """(token index, strength) of every boundary used, in order; gaps are under ``limit`` tokens.
+    """(token index, strength) of every boundary used, in order; gaps are at most ``limit`` tokens.
 
-    ``first[i]`` is the character at which token i starts. Only gaps that are too long are cut at
-    weaker boundaries, so an ordinary sentence stays one atom.
+    ``first[i]`` is the character at which token i starts. A gap of at most ``limit`` between two
+    boundaries is left whole: its own weaker ones would be merged again before either of the two, as
+    what they part fits together.
     """
     import bisect
 
@@ -47,7 +48,7 @@ def _atoms(text: str, first: list[int], limit: int) -> list[tuple[int, int]]:
         todo = [(a, b, level)]
         while todo:
             a, b, k = todo.pop()
-            if k >= 3 and b - a <= limit:
+            if k and b - a <= limit:
                 continue
             lo, hi = first[a], first[b] if b < len(first) else len(text)
             if k == len(_BOUNDARIES):  # no boundary left: whole characters
@@ -110,15 +111,17 @@ def pieces(text: str, limit: int = 2000, overlap: int = 100, path: str = TOKENIZ
     slack = min(SLACK, limit // 20)
     while True:
         room = max(1, limit - overlap - slack - 3)
-        edges = merge(_atoms(text, first, max(1, room // 4)), room)
+        edges = merge(_atoms(text, first, room), room)
         out = []
         for a, b in zip(edges, edges[1:], strict=False):
             start = first[max(0, a - overlap)] if a else 0
             end = first[b] if b < len(first) else len(text)
             out.append((start, end, len(enc.encode_ordinary(text[start:end]))))
-        if all(k <= limit for *_, k in out) or slack > limit // 4:
+        if all(k <= limit for *_, k in out):
             return out
-        slack *= 2
+        if room == 1:
+            raise ValueError(f"a character and its overlap take more than {limit} tokens")
+        slack = 2 * slack + 1
 
 
 SCHEMA = "piece int, n_pieces int, start int, end int, n_tokens int, piece_text string"

@@ -6,7 +6,7 @@ import unicodedata
 import pyarrow as pa
 
 from papyra.llm import glyphs
-from papyra.llm.looks import same_looks_pairs, with_consistent
+from papyra.llm.looks import look_classes, same_looks_pairs, with_consistent
 
 
 def plain(s):
@@ -44,7 +44,9 @@ def test_what_looks_the_same():
 def test_pairs(spark):
     rows = [("p", "a", "ｘ y"), ("p", "b", "x y"), ("p", "c", "x y"), ("p", "d", "x y"), ("q", "e", "x y"), ("p", "f", None), ("p", "g", ""), ("p", "h", ""), ("p", "i", "X y")]
     df = spark.createDataFrame([(*r, "clash", 1) for r in rows * 2], "paper string, k string, t string, _form string, _id int")
-    got = sorted((r["id_a"], r["id_b"]) for r in same_looks_pairs(df, ["paper"], "k", "t").collect())
+    got = sorted((r["id_a"], r["id_b"]) for r in same_looks_pairs(look_classes(df, ["paper"], "k", "t"), ["paper"]).collect())
     assert got == [("a", "b"), ("a", "c"), ("a", "d"), ("b", "c"), ("b", "d")]
-    assert same_looks_pairs(df.limit(0), ["paper"], "k", "t").count() == 0
+    classes = {r["id"]: r for r in look_classes(df, ["paper"], "k", "t").collect()}
+    assert {k: r["links"] for k, r in classes.items()} == {k: sum(k in p for p in got) for k in "abcd"}
+    assert same_looks_pairs(look_classes(df.limit(0), ["paper"], "k", "t"), ["paper"]).count() == 0
     assert with_consistent(df, "t", "form").where("k = 'a'").first()["form"] == "x y"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import random
 
 import pytest
@@ -31,6 +32,35 @@ def test_pieces_rebuild_the_text_and_keep_the_limit():
         assert end == len(text) and len(got) > 1
 
 
+def test_gaps_left_whole_change_no_cut():
+    """Cutting every gap at every boundary first gives the same pieces."""
+    rng = random.Random(3)
+    enc = encoding()
+    for _ in range(20):
+        text = "".join(rng.choice(["river", "the", "经济", "发展的", "wind"]) + rng.choice([" ", " ", " ", ", ", ". ", "。", "\n", "\n\n"]) for _ in range(rng.randint(50, 700)))
+        _, first = enc.decode_with_offsets(enc.encode_ordinary(text))
+        room = rng.choice([20, 60, 150])
+        fine: dict[int, int] = {0: 9, len(first): 9}
+        for strength, pattern in splitting._BOUNDARIES:
+            for m in pattern.finditer(text):
+                i = bisect.bisect_left(first, m.end())
+                if i < len(first):
+                    fine.setdefault(i, strength)
+        if max(b - a for (a, _), (b, _) in zip(sorted(fine.items()), sorted(fine.items())[1:])) <= room:
+            assert splitting.merge(splitting._atoms(text, first, room), room) == splitting.merge(sorted(fine.items()), room)
+
+
+def test_tiny_limits_hold_or_fail():
+    text = "😀汉字 tokens of many bytes 😀😀😀 and more. " * 20
+    for limit in (8, 12, 30, 60):
+        try:
+            got = splitting.pieces(text, limit, limit // 4)
+        except ValueError as e:
+            assert "take more than" in str(e)
+            continue
+        assert all(n <= limit for *_, n in got) and got[-1][1] == len(text)
+
+
 def test_weakest_boundaries_go_first():
     cuts = [(0, 9), (40, 3), (80, 5), (120, 3), (160, 9)]
     assert splitting.merge(cuts, 90) == [0, 80, 160]  # the paragraph stays a cut
@@ -57,6 +87,12 @@ def test_mix_equals_plain_systematic_sampling(spark):
     t = spark.createDataFrame(targets, "source string, target_share double, max_repeats int")
     out, report = mixing.mix(d, t, "k", "t")
     decided = out.collect()
+    small, mixing.CELL_ROWS = mixing.CELL_ROWS, 20  # many buckets keep the sums
+    try:
+        many = mixing.uses(mixing.mix(d, t, "k", "t")[0]).groupBy("source").count().collect()
+    finally:
+        mixing.CELL_ROWS = small
+    assert all(abs(r["count"] - sum(x["copies"] for x in decided if x["source"] == r["source"])) <= 1 for r in many)
     rows, told = mixing.uses(out).collect(), {r["source"]: r for r in report.collect()}
     assert {r["k"] for r in rows}.isdisjoint({9001, 9002, 9003, 9004})
     cap = {"a": 2, "b": 1, "c": 3}
