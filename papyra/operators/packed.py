@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyra.session import maybe_broadcast
+from papyra.session import cut, maybe_broadcast
 
 # The delimiters that separate packed values.
 DELIMITERS = ";；|/、，,\t\n\r"
@@ -114,7 +114,7 @@ def split_packed(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     rows = df.select(*keys, F.col(text).alias("_text")).where(F.col("_text").rlike(r"\S") & _maybe_list(F.trim("_text"))).distinct()
     cut_up = skeletons(rows, "_text").where(F.length("_skeleton") > 2)
     rules = cut_up.select("_skeleton").distinct().mapInPandas(_rules, "_skeleton string, _ranges array<struct<a:int,b:int>>")
-    rules = maybe_broadcast(rules.persist(), 400)
+    rules = maybe_broadcast(cut(rules), 400)
     value = F.array_join(F.slice(F.col("_tokens"), F.col("_r.a") + 1, F.col("_r.b") - F.col("_r.a")), "")
     bare = F.regexp_extract(F.col("value"), r"(?s)\A(?:\"(.*)\"|“(.*)”|「(.*)」|『(.*)』|'(.*)')\z", 0) != ""
     undone = F.replace(F.substring("value", 2, F.length("value") - F.lit(2)), F.lit('""'), F.lit('"'))

@@ -5,22 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.operators.nested import enclosing_join, flatten, node_table, shapes
+from papyra.operators.nested import doubtful, enclosing_join, flatten, node_table, shapes
 from papyra.operators.packed import split_packed
-from papyra.session import spread, table
+from papyra.session import cut, spread, table
 
 
 def _both(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     papers = spread(table(spark, sf, "papers").select("id", "raw_json"))
     subs = spread(table(spark, sf, "questions").select("id", "subquestions_json"))
-    known = shapes(papers, "raw_json", "$").unionByName(shapes(subs, "subquestions_json", "subquestions")).distinct()
+    known = cut(doubtful(shapes(papers, "raw_json", "$").unionByName(shapes(subs, "subquestions_json", "subquestions"))))
     return papers, subs, known
 
 
 def p2_nodes(spark: SparkSession, sf: str) -> DataFrame:
     """Node table of both fields with interval labels and each node's own fields."""
     papers, subs, known = _both(spark, sf)
-    known = known.persist()
     a = flatten(papers, "id", "raw_json", "$", known)
     b = flatten(subs, "id", "subquestions_json", "subquestions", known)
     return a.withColumn("field_name", F.lit("papers.raw_json")).unionByName(b.withColumn("field_name", F.lit("questions.subquestions_json")))
@@ -29,7 +28,6 @@ def p2_nodes(spark: SparkSession, sf: str) -> DataFrame:
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """Every child record of both fields with the place of its nearest enclosing child record."""
     papers, subs, known = _both(spark, sf)
-    known = known.persist()
     a = flatten(papers, "id", "raw_json", "$", known, with_body=False).withColumn("field_name", F.lit("papers.raw_json"))
     b = flatten(subs, "id", "subquestions_json", "subquestions", known, with_body=False).withColumn("field_name", F.lit("questions.subquestions_json"))
     return a.unionByName(b).select("field_name", "record_id", "parent_path", "node_path")

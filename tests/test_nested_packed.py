@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 import random
 
+from papyra.operators import nested
 from papyra.operators.nested import enclosing_join, flatten, node_table
 from papyra.operators.packed import resolve, skeletons, split_packed
 
@@ -59,6 +60,11 @@ def test_paths_and_parents_equal_plain_recursion(spark):
     got = {(r["record_id"], r["parent_path"], r["node_path"]) for r in nodes.collect()}
     want = {(f"r{i}", p, n) for i, r in enumerate(records) for p, n in brute(r, name="")}
     assert got == want
+    most, nested.MAX_SHAPES = nested.MAX_SHAPES, 1  # each record joined with its own doubtful fields
+    try:
+        assert {(r["record_id"], r["parent_path"], r["node_path"]) for r in flatten(df, "id", "body", "$").collect()} == want
+    finally:
+        nested.MAX_SHAPES = most
     # Interval containment finds the same parents again.
     up = enclosing_join(nodes, nodes).where("outer_depth = depth - 1").collect()
     assert {(r["record_id"], r["outer_node_path"], r["node_path"]) for r in up} == {g for g in got if g[1] != "$"}
@@ -66,6 +72,14 @@ def test_paths_and_parents_equal_plain_recursion(spark):
     assert parts.where("parent_pre >= 0").join(nodes.selectExpr("record_id", "pre as parent_pre"), ["record_id", "parent_pre"], "left_anti").isEmpty()
 
 
+def test_names_that_carry_data_are_not_doubtful(spark):
+    rows = [(str(i), json.dumps({f"key{i}": {"rows": [{"v": i}]}, f"list{i}": [{"v": 1}]})) for i in range(200)] + [("one", '{"key7": {"rows": {"v": 2}}}')]
+    df = spark.createDataFrame(rows, "id string, body string")
+    assert [tuple(r)[:2] for r in nested.doubtful(nested.shapes(df, "body", "$")).collect()] == [("key7", "rows")]
+    got = flatten(df, "id", "body", "$")
+    assert got.count() == 401 and got.where("record_id = 'one'").first()["node_path"] == "$.key7.rows[0]"
+
+
 def test_nested_edge_cases(spark):
     rows = [("a", None), ("b", ""), ("c", "not json"), ("d", "[]"), ("e", '{"x": [1, 2]}'), ("f", '{"x": [{"y": 1}, null, {"y": 2}]}'), ("f", '{"x": [{"y": 1}, null, {"y": 2}]}')]
     df = spark.createDataFrame([(k, t, "clash", 1) for k, t in rows], "id string, body string, node_path string, pre int")
