@@ -45,9 +45,14 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: unicodedata.normalize("NFKC", t) if isinstance(t, str) else None)
 
 
+def nfkc_if_needed(c: Column) -> Column:
+    """NFKC; texts of ASCII only skip the UDF."""
+    return F.when(c.rlike(r"\A[\x00-\x7f]*\z"), c).otherwise(nfkc(c))
+
+
 def search_key(c: Column) -> Column:
-    """NFKC, lower case, squeezed; texts of ASCII only skip the UDF."""
-    return squeeze(F.lower(F.when(c.rlike(r"\A[\x00-\x7f]*\z"), c).otherwise(nfkc(c))))
+    """NFKC, lower case, squeezed."""
+    return squeeze(F.lower(nfkc_if_needed(c)))
 
 
 def has_all_terms(text: Column, terms: list[str]) -> Column:
@@ -55,6 +60,12 @@ def has_all_terms(text: Column, terms: list[str]) -> Column:
     return reduce(lambda a, t: a & F.contains(text, F.lit(t)), terms, F.lit(True))
 
 
+def utc_text(at: Column | None = None) -> Column:
+    """An instant, or the present one, as ISO text in UTC, whatever the session's time zone."""
+    at = F.current_timestamp() if at is None else at
+    return F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), at.cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def utf16_units(c: Column) -> Column:
     """Length in UTF-16 code units."""
     return (F.octet_length(F.encode(c, "UTF-16LE")) / 2).cast("int")
@@ -131,6 +142,17 @@ def shingle_coverage(part: Column, whole: Column, width: int) -> Column:
     return F.when(n < 1, 1.0).otherwise(hits / n)
 
 
+def script_coverage(part: Column, whole: Column) -> Column:
+    """Shingle coverage, in shingles of 12 characters for a text with ideographs and of 24 for any other."""
+    return F.when(has_han(part), shingle_coverage(part, whole, 12)).otherwise(shingle_coverage(part, whole, 24))
+
+
+def han_overlap(a: Column, b: Column) -> Column:
+    """Share of the overlapping 4-grams of ideographs of ``a`` that ``b`` has; other characters are left out first."""
+    han = lambda c: grams(F.regexp_replace(c, r"[^\x{3400}-\x{9fff}]", ""), 4)
+    return F.size(F.array_intersect(han(a), han(b))) / F.greatest(F.size(han(a)), F.lit(1))
+
+
 def word_overlap(a: Column, b: Column) -> Column:
     """Share of the words of three letters or more of ``a`` that ``b`` has."""
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{3,}"), F.lit(0)))

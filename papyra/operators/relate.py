@@ -101,12 +101,13 @@ def fan_out(df: DataFrame, keys: list[str], order: Column, id_col: str) -> DataF
     return df.join(first, on).select(*df.columns, "representative")
 
 
-def resolved_alias(df: DataFrame, id_col: str, alias: str, value: str, same: list[str]) -> DataFrame:
+def resolved_alias(df: DataFrame, id_col: str, alias: str, value: str, same: list[str], sources: DataFrame | None = None) -> DataFrame:
     """The value of each row, taken from the row its alias names if its own is null.
 
-    The alias counts only if the two rows agree in all ``same`` columns.
+    The alias counts only if the two rows agree in all ``same`` columns. ``sources`` are the rows that may
+    be named, one for each id and ``same``; by default those of ``df``.
     """
-    source = df.select(F.col(id_col).alias("_id"), F.col(value).alias("_v"), *[F.col(c).alias(f"_s_{c}") for c in same])
+    source = (df if sources is None else sources).select(F.col(id_col).alias("_id"), F.col(value).alias("_v"), *[F.col(c).alias(f"_s_{c}") for c in same])
     agree = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in same], F.lit(True))
     joined = df.join(source, (F.col(alias) == F.col("_id")) & agree, "left")
     return joined.withColumn("resolved", F.coalesce(F.col(value), F.col("_v"))).drop("_id", "_v", *[f"_s_{c}" for c in same])
@@ -127,17 +128,18 @@ def overlapping(left: DataFrame, right: DataFrame, lo: str, hi: str, r_lo: str,
     return joined.where((F.col(lo) <= F.col(r_hi)) & (F.col(r_lo) <= F.col(hi)) & (F.col("_b") == first)).drop("_b")
 
 
-def unique_anchor(anchors: DataFrame, anchor_id: str, anchor: str, texts: DataFrame, text_id: str, text: str, length: int = 12) -> DataFrame:
-    """(anchor_id, text_id) of anchors that exactly one text contains.
+def unique_anchor(anchors: DataFrame, anchor_id: str, anchor: str, texts: DataFrame, text_id: str, text: str, length: int = 12, group: list[str] | None = None) -> DataFrame:
+    """(anchor_id, text_id) of anchors that exactly one text, of the same ``group``, contains.
 
     Candidates come from an equi-join of the anchor's first ``length`` characters with the windows of
     that length of every text; containment is then tested. Shorter anchors are not looked up.
     """
-    a = anchors.where(F.length(anchor) >= length).select(anchor_id, F.col(anchor).alias("_a"), F.xxhash64(F.substring(F.col(anchor), 1, length)).alias("_h"))
+    group = group or []
+    a = anchors.where(F.length(anchor) >= length).select(anchor_id, *group, F.col(anchor).alias("_a"), F.xxhash64(F.substring(F.col(anchor), 1, length)).alias("_h"))
     starts = F.sequence(F.lit(1), F.length("_t") - length + 1)
-    t = texts.where(F.length(text) >= length).select(text_id, F.col(text).alias("_t"))
-    t = t.select(text_id, "_t", F.explode(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring("_t", i, F.lit(length)))))).alias("_h"))
-    hits = t.join(a, "_h").where(F.contains("_t", F.col("_a"))).select(anchor_id, text_id).distinct()
+    t = texts.where(F.length(text) >= length).select(text_id, *group, F.col(text).alias("_t"))
+    t = t.select(text_id, *group, "_t", F.explode(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring("_t", i, F.lit(length)))))).alias("_h"))
+    hits = t.join(a, [*group, "_h"]).where(F.contains("_t", F.col("_a"))).select(anchor_id, text_id).distinct()
     return hits.groupBy(anchor_id).agg(F.count("*").alias("_n"), F.min(text_id).alias(text_id)).where("_n = 1").drop("_n")
 
 

@@ -29,13 +29,17 @@ def carry_forward(df: DataFrame, by: list[str], order: list[str], when: Column,
     return df.withColumn(out, F.last(F.when(when, F.col(value)), ignorenulls=True).over(w))
 
 
-def islands(df: DataFrame, by: list[str], order: list[str], flag: Column, least: int) -> DataFrame:
-    """(by, start, end, length) of runs of at least ``least`` consecutive rows where ``flag`` holds; start and end are positions from 1."""
+def islands(df: DataFrame, by: list[str], order: list[str], flag: Column, least: int, size: Column | None = None, least_size: float = 0) -> DataFrame:
+    """(by, start, end, length, size) of runs of at least ``least`` consecutive rows where ``flag`` holds; start and end are positions from 1.
+
+    With ``size``, its sum over the run must reach ``least_size`` too; null sizes count 0.
+    """
     w = Window.partitionBy(*by).orderBy(*order)
-    rows = df.withColumn("_f", F.coalesce(flag, F.lit(False))).withColumn("_n", F.row_number().over(w))
+    rows = df.withColumn("_size", F.coalesce(size, F.lit(0)) if size is not None else F.lit(0)).withColumn("_f", F.coalesce(flag, F.lit(False))).withColumn("_n", F.row_number().over(w))
     runs = rows.withColumn("_g", F.sum(F.when(~F.col("_f"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_f")
-    found = runs.groupBy(*by, "_g").agg(F.min("_n").alias("start"), F.max("_n").alias("end"), F.count("*").alias("length"))
-    return found.where(F.col("length") >= least).drop("_g")
+    found = runs.groupBy(*by, "_g").agg(F.min("_n").alias("start"), F.max("_n").alias("end"), F.count("*").alias("length"), F.sum("_size").alias("size"))
+    kept = found.where((F.col("length") >= least) & (F.col("size") >= least_size)).drop("_g")
+    return kept if size is not None else kept.drop("size")
 
 
 def ordinals(df: DataFrame, by: list[str], order: list[str], out: str = "ordinal") -> DataFrame:
@@ -99,7 +103,8 @@ def line_clusters(df: DataFrame, by: list[str], y: str, order: list[str], tolera
 def packed_batches(df: DataFrame, by: list[str], order: list[str], size: str, alone: str, most: int, limit: int, out: str = "batch") -> DataFrame:
     """``out``: number of the batch within the group, filled in order up to ``most`` rows and ``limit`` of ``size``; rows flagged ``alone`` get their own.
 
-    Greedy, so each group is one pass; it streams, holding one running total.
+    Greedy, so each group is one task that holds its rows' keys and sizes; groups (a document's pieces of
+    work) are small by nature.
     """
     schema = StructType([*df.schema.fields, StructField(out, IntegerType())])
 

@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyra.session import cut
 
 
-def descend(nodes: DataFrame, key: str, parent: str, roots: DataFrame, root_key: str, depth_limit: int = 64) -> DataFrame:
+def descend(nodes: DataFrame, key: str, parent: str, roots: DataFrame, root_key: str) -> DataFrame:
     """(key, root, depth) of every node under the roots, the roots at depth 0.
 
-    Level by level; a node reached again under the same root is not followed, so cycles end. Only the
-    frontier is joined at each level, and the lineage is cut by a checkpoint every eighth one.
+    Level by level, to any depth; a node reached again under the same root is not followed, so cycles end
+    and a node with several parents stands at its least depth. Only the frontier is joined at each level,
+    and the lineage is cut by a checkpoint every eighth one.
     """
     edges = nodes.where(F.col(parent).isNotNull()).select(F.col(key).alias("_c"), F.col(parent).alias("_p"))
     frontier = roots.select(F.col(root_key).alias(key)).distinct().withColumn("root", F.col(key)).withColumn("depth", F.lit(0))
     found = frontier = cut(frontier)
-    for d in range(1, depth_limit + 1):
+    for d in itertools.count(1):
         step = frontier.join(edges, F.col(key) == F.col("_p")).select(F.col("_c").alias(key), "root").distinct()
         step = cut(step.join(found.select(key, "root"), [key, "root"], "left_anti").withColumn("depth", F.lit(d)))
         if step.isEmpty():
@@ -26,7 +29,13 @@ def descend(nodes: DataFrame, key: str, parent: str, roots: DataFrame, root_key:
         if d % 8 == 0:
             found = cut(found)
         frontier = step
-    raise ValueError(f"deeper than {depth_limit} levels")
+    raise AssertionError
+
+
+def closure(links: DataFrame, start: str, end: str, seeds: DataFrame, seed: str) -> DataFrame:
+    """(seed, reached, steps) of everything the links lead to from each seed, itself at 0 steps; null ends lead nowhere."""
+    found = descend(links.where(F.col(end).isNotNull()).select(F.col(end).alias("reached"), F.col(start).alias("_from")).distinct(), "reached", "_from", seeds, seed)
+    return found.select(F.col("root").alias("seed"), "reached", F.col("depth").alias("steps"))
 
 
 def hidden_below(nodes: DataFrame, key: str, parent: str, hidden: DataFrame) -> DataFrame:

@@ -34,9 +34,9 @@ class Registry:
             self.queries[f.__name__] = f
             if sql:
                 ctes = ", ".join(CURRENT[u] for u in uses)
-                more = ", " if sql.lstrip().startswith("with ") else " "
-                body = sql.lstrip()[5:] if more == ", " else sql
-                self.sql[f.__name__] = f"with {ctes}{more}{body}" if uses else sql
+                bare = sql.lstrip()
+                head = next((x for x in ("with recursive ", "with ") if bare.startswith(x)), "")
+                self.sql[f.__name__] = f"{head or 'with '}{ctes}{', ' if head else ' '}{bare[len(head):]}" if uses else sql
             return f
 
         return add

@@ -109,13 +109,6 @@ def four_way_join(spark: SparkSession, sf: str) -> DataFrame:
     return q.join(p, "paper_id").join(a, "question_id").join(o, "question_id").groupBy("paper_id").agg(F.count("*").alias("marked"))
 
 
-@query("select question_id, string_agg(id, '|' order by ordinal, id) as blocks from b where question_id is not null group by question_id", "b")
-def ordered_bridge(spark: SparkSession, sf: str) -> DataFrame:
-    b = current(spark, sf, "source_blocks").where("question_id is not null")
-    ordered = F.array_sort(F.collect_list(F.struct("ordinal", "id")))
-    return b.groupBy("question_id").agg(F.array_join(F.transform(ordered, lambda x: x["id"]), "|").alias("blocks"))
-
-
 @query("""select p.id, p.question_count, count(q.id) as found, sum(case when q.status = 'partial' then 1 else 0 end) as partial from p left join q on q.paper_id = p.id and q.in_bank = 1
  group by p.id, p.question_count having count(q.id) <> p.question_count or p.question_count is null or sum(case when q.status = 'partial' then 1 else 0 end) > 1""", "pq")
 def paper_count_check(spark: SparkSession, sf: str) -> DataFrame:
@@ -136,43 +129,6 @@ def questions_with_unknown_marks(spark: SparkSession, sf: str) -> DataFrame:
     return q.join(o, o.question_id == q.id, "left_semi").select("id")
 
 
-@query("""select 'documents' as child, paper_id as key, count(*) as n from documents where paper_id is not null and paper_id not in (select id from papers) group by paper_id
- union all select 'source_blocks', question_id, count(*) from source_blocks where question_id is not null and question_id not in (select id from questions) group by question_id
- union all select 'lineitem', cast(l_orderkey as varchar), count(*) from lineitem where l_orderkey not in (select o_orderkey from orders) group by l_orderkey
- union all select 'orders', cast(o_custkey as varchar), count(*) from orders where o_custkey not in (select c_custkey from customer) group by o_custkey""")
-def reference_violations(spark: SparkSession, sf: str) -> DataFrame:
-    out = None
-    for child, key, parent, parent_key in (("documents", "paper_id", "papers", "id"), ("source_blocks", "question_id", "questions", "id"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("orders", "o_custkey", "customer", "c_custkey")):
-        bad = relate.missing_parents(table(spark, sf, child), key, table(spark, sf, parent), parent_key)
-        part = bad.groupBy(F.col(key).cast("string").alias("key")).agg(F.count("*").alias("n")).select(F.lit(child).alias("child"), "key", "n")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-@query("""with x as (select distinct paper_id from documents where paper_id is not null), y as (select distinct id from papers)
- select coalesce(x.paper_id, y.id) as id, case when y.id is null then 'missing' else 'extra' end as side from x full join y on x.paper_id = y.id where x.paper_id is null or y.id is null""")
-def inventory_difference(spark: SparkSession, sf: str) -> DataFrame:
-    left = table(spark, sf, "documents").select(F.col("paper_id").alias("id"))
-    return relate.inventory_diff(left, table(spark, sf, "papers"), "id")
-
-
-@query("""with j as (select id, title, kind, template, json_extract_string(raw_json, '$.title') as t, json_extract_string(raw_json, '$.kind') as k, json_extract_string(raw_json, '$.template') as m from p where starts_with(raw_json, '{'))
- select id, 'title' as field from j where title is distinct from t union all select id, 'kind' from j where kind is distinct from k union all select id, 'template' from j where template is distinct from m""", "p")
-def row_equality(spark: SparkSession, sf: str) -> DataFrame:
-    p = current(spark, sf, "papers").where(F.startswith("raw_json", F.lit("{")))
-    read = p.select("id", *[F.get_json_object("raw_json", f"$.{c}").alias(c) for c in ("title", "kind", "template")])
-    return relate.field_differences(p, read, "id", ["title", "kind", "template"])
-
-
-@query("""select t.path, t.paragraph_id, coalesce(t.translation, (select min(u.translation) from t u where u.source_hash = t.source_hash and u.translation is not null)) as resolved from t""", "t")
-def alias_resolution(spark: SparkSession, sf: str) -> DataFrame:
-    t = current(spark, sf, "translations")
-    first = t.where("translation is not null").groupBy("source_hash").agg(F.min("translation").alias("_v"))
-    rows = t.select("path", "paragraph_id", "source_hash", "translation", F.col("source_hash").alias("alias"))
-    named = first.select(F.col("source_hash").alias("alias"), "_v")
-    return rows.join(named, "alias", "left").select("path", "paragraph_id", F.coalesce("translation", "_v").alias("resolved"))
-
-
 @query("""with c as (select paper_id || '#' || number as k, count(distinct id) as n, min(id) as t from q where number is not null group by 1),
  s as (select id, paper_id || '#' || regexp_extract(text, '^([0-9]+)\\.', 1) as k from b where role = 'stem' and text is not null)
  select s.id, case when coalesce(c.n, 0) = 0 then 'unresolved' when c.n = 1 then 'resolved' else 'ambiguous' end as outcome, case when c.n = 1 then c.t end as target from s left join c on c.k = s.k""", "qb")
@@ -183,14 +139,6 @@ def cardinality_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return relate.classified_lookup(asked, "id", "_k", q, "_k", "target")
 
 
-@query("""with x as (select a.question_id, unnest(cast(json_extract_string(a.source_blocks_json, '$[*]') as varchar[])) as l, q.paper_id from a join q on q.id = a.question_id where a.source_blocks_json is not null)
- select x.question_id, count(*) as missing from x where not exists (select 1 from b where b.paper_id = x.paper_id and b.local_id = x.l) group by x.question_id""", "aqb")
-def answer_source_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    a, q, b = current(spark, sf, "answers"), current(spark, sf, "questions").select(F.col("id").alias("question_id"), "paper_id"), current(spark, sf, "source_blocks").select("paper_id", "local_id")
-    named = a.join(q, "question_id").select("question_id", "paper_id", F.explode(F.from_json("source_blocks_json", "array<string>")).alias("local_id"))
-    return named.join(b, ["paper_id", "local_id"], "left_anti").groupBy("question_id").agg(F.count("*").alias("missing"))
-
-
 @query("""select q.id, coalesce(string_agg(o.label || o.text, ';' order by o.default_position, o.id) filter (where o.text is not null), '') as options, count(o.id) as n from q left join o on o.question_id = q.id group by q.id""", "qo")
 def decorrelated_children(spark: SparkSession, sf: str) -> DataFrame:
     q, o = current(spark, sf, "questions").select("id"), current(spark, sf, "options")
@@ -205,13 +153,6 @@ def dictionary_join(spark: SparkSession, sf: str) -> DataFrame:
     return current(spark, sf, "questions").join(F.broadcast(names), "question_type", "left").select("id", "type_name")
 
 
-@query("select id from (select id, row_number() over (partition by paper_id order by ordinal, id) as n from q) where n <= 3", "q")
-def first_questions(spark: SparkSession, sf: str) -> DataFrame:
-    from papyra.operators.sequence import first_n
-
-    return first_n(current(spark, sf, "questions").select("id", "paper_id", "ordinal"), ["paper_id"], ["ordinal", "id"], 3).select("id")
-
-
 @query("""select s.s_suppkey, c.c_custkey from supplier s join customer c on s.s_nationkey = c.c_nationkey where s.s_acctbal - 20 <= c.c_acctbal + 5 and c.c_acctbal - 5 <= s.s_acctbal + 20""")
 def range_overlap(spark: SparkSession, sf: str) -> DataFrame:
     s = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), (F.col("s_acctbal") - 20).alias("lo"), (F.col("s_acctbal") + 20).alias("hi"))
@@ -232,13 +173,8 @@ def rectangle_intersection(spark: SparkSession, sf: str) -> DataFrame:
  select anchor, min(block) as block from x group by anchor having count(*) = 1""", "ob")
 def unique_anchor_blocks(spark: SparkSession, sf: str) -> DataFrame:
     o, b = current(spark, sf, "options"), current(spark, sf, "source_blocks").where("role = 'option'")
-    anchors = o.select(F.col("id").alias("anchor"), F.concat("paper_id", F.lit("\u0001"), "text").alias("x"), "paper_id", "text").where("length(text) >= 12")
-    pairs = anchors.select("anchor", "paper_id", "text", F.xxhash64(F.substring("text", 1, 12)).alias("_h"))
-    texts = b.where("length(text) >= 12").select(F.col("id").alias("block"), "paper_id", F.col("text").alias("_t"))
-    starts = F.transform(F.sequence(F.lit(1), F.length("_t") - 11), lambda i: F.xxhash64(F.substring("_t", i, F.lit(12))))
-    windows = texts.select("block", "paper_id", "_t", F.explode(F.array_distinct(starts)).alias("_h"))
-    hits = windows.join(pairs, ["paper_id", "_h"]).where(F.contains("_t", F.col("text"))).select("anchor", "block").distinct()
-    return hits.groupBy("anchor").agg(F.count("*").alias("_n"), F.min("block").alias("block")).where("_n = 1").drop("_n")
+    anchors = o.select(F.col("id").alias("anchor"), "paper_id", F.col("text").alias("_x"))
+    return relate.unique_anchor(anchors, "anchor", "_x", b.select(F.col("id").alias("block"), "paper_id", "text"), "block", "text", 12, ["paper_id"])
 
 
 # Aggregation
@@ -267,20 +203,6 @@ def duplicate_rows(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-@query("select question_id, min(default_position) as lo, max(default_position) as hi, count(default_position) as n from o group by question_id having min(default_position) <> 1 or max(default_position) <> count(default_position) or count(default_position) <> count(distinct default_position)", "o")
-def option_order_check(spark: SparkSession, sf: str) -> DataFrame:
-    from papyra.operators.sequence import not_contiguous
-
-    return not_contiguous(current(spark, sf, "options"), ["question_id"], "default_position")
-
-
-@query("select o.question_id, count(o.is_correct) as marks, min(a.status) as status from o join a on a.question_id = o.question_id join q on q.id = o.question_id group by o.question_id having count(o.is_correct) > 0 and (min(a.status) <> 'explicit' or min(q.question_type) not in ('single_choice', 'multiple_choice'))", "oaq")
-def marks_without_answer(spark: SparkSession, sf: str) -> DataFrame:
-    o = current(spark, sf, "options").groupBy("question_id").agg(F.count("is_correct").alias("marks")).where("marks > 0")
-    a, q = current(spark, sf, "answers").select("question_id", "status"), current(spark, sf, "questions").select(F.col("id").alias("question_id"), "question_type")
-    return o.join(a, "question_id").join(q, "question_id").where("status <> 'explicit' or question_type not in ('single_choice', 'multiple_choice')").select("question_id", "marks", "status")
-
-
 @query("select paper_id, text, min(question_id) as question_id from o where text is not null group by paper_id, text having count(distinct question_id) = 1", "o")
 def options_owned_once(spark: SparkSession, sf: str) -> DataFrame:
     o = current(spark, sf, "options").where("text is not null").withColumn("_i", F.struct("paper_id", "text"))
@@ -297,12 +219,6 @@ def mode_median_mean(spark: SparkSession, sf: str) -> DataFrame:
     return stats.join(mode, "l_returnflag").select("l_returnflag", "median_quantity", "mean_discount", F.date_format("m.d", "yyyy-MM-dd").alias("mode_day"))
 
 
-@query("select c, count(*) as n from (select unnest(string_split(text, '')) as c from o where text is not null) where c <> '' group by c", "o")
-def character_multiset(spark: SparkSession, sf: str) -> DataFrame:
-    chars = current(spark, sf, "options").select(F.explode(F.split("text", "")).alias("c"))
-    return chars.where("c <> ''").groupBy("c").agg(F.count("*").alias("n"))
-
-
 @query("""with k as (select question_id, list_sort(list(left(label, 1))) as marked from o where is_correct = 1 group by question_id),
  v as (select question_id, list_sort(string_split(regexp_replace(upper(value), '[\\s,，、;；/|.]+', '', 'g'), '')) as chosen from a where regexp_matches(upper(value), '^[A-Z\\s,，、;；/|.]+$'))
  select v.question_id, case when k.marked is null then null else k.marked = v.chosen end as right_answer from v left join k on k.question_id = v.question_id""", "oa")
@@ -318,12 +234,6 @@ def payload_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     return relate.conflicts(table(spark, sf, "orders"), "o_custkey", ["o_orderpriority"])
 
 
-@query("select paper_id, number, count(*) as n, string_agg(id, '|' order by id) as members, string_agg(distinct section_kind, '|' order by section_kind) as sections from q where number is not null group by paper_id, number having count(*) > 1", "q")
-def duplicate_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    q = current(spark, sf, "questions").where("number is not null").groupBy("paper_id", "number")
-    return q.agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("id")), "|").alias("members"), F.array_join(F.array_sort(F.collect_set("section_kind")), "|").alias("sections")).where("n > 1")
-
-
 # Sets
 
 
@@ -373,19 +283,6 @@ def rule_violations(spark: SparkSession, sf: str) -> DataFrame:
     return violations(lambda t: table(spark, sf, t), _RULES)
 
 
-@query("""select 'papers' as measure, 50 as expected, count(*) as actual from p having count(*) <> 50 union all select 'partial', 31, count(*) from q where status = 'partial' having count(*) <> 31
- union all select 'questions', null, count(*) from q""", "pq")
-def audit_totals(spark: SparkSession, sf: str) -> DataFrame:
-    p = totals(current(spark, sf, "papers"), {"papers": 50}, {"papers": "count(*)"})
-    return p.unionByName(totals(current(spark, sf, "questions"), {"partial": 31}, {"partial": "count_if(status = 'partial')", "questions": "count(*)"}))
-
-
-@query("""select p.id, count(b.id) as blocks, count(distinct b.id) as ids, count(b.page) as paged from p left join b on b.paper_id = p.id group by p.id""", "pb")
-def conservation(spark: SparkSession, sf: str) -> DataFrame:
-    p, b = current(spark, sf, "papers").select("id"), current(spark, sf, "source_blocks").select(F.col("paper_id").alias("id"), F.col("id").alias("_b"), "page")
-    return p.join(b, "id", "left").groupBy("id").agg(F.count("_b").alias("blocks"), F.count_distinct("_b").alias("ids"), F.count("page").alias("paged"))
-
-
 @query("select question_id from a where (status = 'explicit' and value is null and solution is null) or (status = 'missing' and value is not null)", "a")
 def answer_coherence(spark: SparkSession, sf: str) -> DataFrame:
     return current(spark, sf, "answers").where("(status = 'explicit' and value is null and solution is null) or (status = 'missing' and value is not null)").select("question_id")
@@ -409,12 +306,6 @@ def metadata_view(spark: SparkSession, sf: str) -> DataFrame:
     return current(spark, sf, "papers").groupBy("category").agg(F.count("*").alias("papers"), F.sum("question_count").alias("questions"), F.sum("block_count").alias("blocks"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
 
 
-@query("select id, case when source_label is null then chr(64 + default_position) || '.' else source_label end as shown from o", "o")
-def display_labels(spark: SparkSession, sf: str) -> DataFrame:
-    letter = F.concat(F.char(F.col("default_position") + 64), F.lit("."))
-    return current(spark, sf, "options").select("id", F.when(F.col("source_label").isNull(), letter).otherwise(F.col("source_label")).alias("shown"))
-
-
 @query("select a.question_id, case when a.status = 'explicit' then a.value end as value, case when a.status = 'explicit' then coalesce(k.ids, '') end as correct_ids from a left join (select question_id, string_agg(id, '|' order by id) as ids from o where is_correct = 1 group by question_id) k on k.question_id = a.question_id", "ao")
 def answer_view(spark: SparkSession, sf: str) -> DataFrame:
     k = current(spark, sf, "options").where("is_correct = 1").groupBy("question_id").agg(F.array_join(F.array_sort(F.collect_list("id")), "|").alias("_ids"))
@@ -422,34 +313,6 @@ def answer_view(spark: SparkSession, sf: str) -> DataFrame:
     return current(spark, sf, "answers").join(k, "question_id", "left").select("question_id", F.when(explicit, F.col("value")).alias("value"), F.when(explicit, F.coalesce("_ids", F.lit(""))).alias("correct_ids"))
 
 
-@query("select q.id, q.stem, q.number, count(o.id) as options from q left join o on o.question_id = q.id where q.record_type = 'question' group by all", "qo")
-def question_view(spark: SparkSession, sf: str) -> DataFrame:
-    """Default view: no marks, no answers."""
-    q = current(spark, sf, "questions").where("record_type = 'question'").select("id", "stem", "number")
-    n = current(spark, sf, "options").groupBy(F.col("question_id").alias("id")).agg(F.count("*").alias("options"))
-    return q.join(n, "id", "left").withColumn("options", F.coalesce("options", F.lit(0)))
-
-
-@query("select id, list_position(list(id) over (partition by question_id order by sha256('demo:' || question_id || ':' || id) rows between unbounded preceding and unbounded following), id) as place from o", "o")
-def seeded_shuffle(spark: SparkSession, sf: str) -> DataFrame:
-    key = F.sha2(F.concat(F.lit("demo:"), "question_id", F.lit(":"), "id"), 256)
-    w = Window.partitionBy("question_id").orderBy("_k")
-    return current(spark, sf, "options").select("id", "question_id", key.alias("_k")).select("id", F.row_number().over(w).alias("place"))
-
-
-@query("select b.question_id, string_agg(b.text, ' ' order by b.ordinal, b.id) as excerpt from b where b.question_id is not null and b.text is not null and b.role in ('stem', 'passage') and coalesce(b.status, '') <> 'duplicate' group by b.question_id", "b")
-def source_excerpts(spark: SparkSession, sf: str) -> DataFrame:
-    b = current(spark, sf, "source_blocks").where("question_id is not null and text is not null and role in ('stem', 'passage') and coalesce(status, '') <> 'duplicate'")
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "id", "text"))), lambda x: x["text"])
-    return b.groupBy("question_id").agg(F.array_join(parts, " ").alias("excerpt"))
-
-
-@query("select p.id, p.record_count, count(q.id) as records from p left join q on q.paper_id = p.id group by p.id, p.record_count having p.record_count <> count(q.id)", "pq")
-def count_guard(spark: SparkSession, sf: str) -> DataFrame:
-    p, n = current(spark, sf, "papers").select("id", "record_count"), current(spark, sf, "questions").groupBy(F.col("paper_id").alias("id")).agg(F.count("*").alias("records"))
-    return p.join(n, "id", "left").withColumn("records", F.coalesce("records", F.lit(0))).where("record_count <> records")
-
-
 @query("select q.id, case left(section_title, 1) when '一' then 1 when '二' then 2 when '三' then 3 when '四' then 4 when '五' then 5 when '六' then 6 when '七' then 7 when '八' then 8 when '九' then 9 end as section_number from q where section_title is not null", "q")
 def section_numbers(spark: SparkSession, sf: str) -> DataFrame:
     head = F.regexp_extract("section_title", "\\A([一二三四五六七八九十]+)、", 1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from papyra.functions import text as fx
 from papyra.operators import relate, sequence, tree
 from papyra.plans.registry import Registry, current
 from papyra.sources.sinks import drifted, upserted
@@ -39,10 +40,12 @@ def section_of_block(spark: SparkSession, sf: str) -> DataFrame:
     return sequence.carry_forward(b, ["paper_id"], ["ordinal", "id"], F.col("role") == "heading", "id", "section").select("id", "section")
 
 
-@query("""with x as (select user_id, event_type = 'error' as f, row_number() over (partition by user_id order by ts, event_id) as n, sum(case when event_type = 'error' then 0 else 1 end) over (partition by user_id order by ts, event_id) as g from events)
- select user_id, min(n) as "start", max(n) as "end", count(*) as length from x where f group by user_id, g having count(*) >= 3""")
+@query("""with x as (select user_id, value, event_type = 'error' as f, row_number() over (partition by user_id order by ts, event_id) as n, sum(case when event_type = 'error' then 0 else 1 end) over (partition by user_id order by ts, event_id) as g from events)
+ select user_id, min(n) as "start", max(n) as "end", count(*) as length, round(sum(coalesce(value, 0)), 2) as size from x where f group by user_id, g having count(*) >= 3 and sum(coalesce(value, 0)) >= 28""")
 def error_runs(spark: SparkSession, sf: str) -> DataFrame:
-    return sequence.islands(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], F.col("event_type") == "error", 3)
+    """Runs of at least three errors whose values sum to 28 or more."""
+    runs = sequence.islands(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], F.col("event_type") == "error", 3, F.col("value"), 28)
+    return runs.withColumn("size", F.round("size", 2))
 
 
 @query("select id, row_number() over (partition by paper_id, number order by ordinal, id) as occurrence, row_number() over (partition by paper_id order by ordinal, id) as place from q", "q")
@@ -121,9 +124,10 @@ def listed_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return q.groupBy("paper_id").agg(F.count("_n").alias("listed"), F.coalesce(F.max("_n"), F.lit(0)).alias("top"))
 
 
-@query()
+@query("""with x as (select paper_id, list(try_cast(number as integer) order by ordinal, id) filter (where try_cast(number as integer) is not null) as ns from q group by paper_id having count(try_cast(number as integer)) > 0)
+ select paper_id, list_reduce(list_prepend(0, ns), lambda a, v: case when v = a + 1 then v else a end) as accepted, len(ns) as numbers from x""", "q")
 def accepted_numbering(spark: SparkSession, sf: str) -> DataFrame:
-    """Numbers taken one after another from 1; a greedy rule SQL has no fold for."""
+    """Numbers taken one after another from 1; others are passed over."""
     q = current(spark, sf, "questions").withColumn("_n", F.col("number").try_cast("int")).where("_n is not null")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "id", "_n"))), lambda x: x["_n"])
     return q.groupBy("paper_id").agg(F.size(sequence.consecutive_from_one(ordered)).alias("accepted"), F.count("*").alias("numbers"))
@@ -137,41 +141,27 @@ def exact_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return n.join(x, "number", "full_outer").select("number", F.coalesce("uses", F.lit(0)).alias("uses"), F.coalesce("_w", F.lit(False)).alias("wanted"))
 
 
-@query("""with o as (select paper_id, string_agg(id, '|' order by ordinal, id) as was from q where in_bank = 1 group by paper_id), n as (select q.paper_id, string_agg(q.id, '|' order by q.ordinal, q.id) as now from q where exists (select 1 from a where a.question_id = q.id and a.status <> 'missing') group by q.paper_id)
- select o.paper_id, o.was = n.now as kept from o join n on n.paper_id = o.paper_id""", "qa")
-def order_preserved(spark: SparkSession, sf: str) -> DataFrame:
-    q, a = current(spark, sf, "questions"), current(spark, sf, "answers").where("status <> 'missing'")
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "id"))), lambda x: x["id"]), "|")
-    was = q.where("in_bank = 1").groupBy("paper_id").agg(ids.alias("_was"))
-    now = q.join(a, q.id == a.question_id, "left_semi").groupBy("paper_id").agg(ids.alias("_now"))
-    return was.join(now, "paper_id").select("paper_id", (F.col("_was") == F.col("_now")).alias("kept"))
-
-
-@query("""with x as (select id, paper_id, text, ordinal, source_page_index, lead(id) over w as id2, lead(text) over w as text2, lead(source_page_index) over w as page2, lead(ordinal) over w as ord2 from b window w as (partition by paper_id order by ordinal, id))
- select id, id2, sha256(text || text2) as merged from x where page2 = source_page_index and ord2 = ordinal + 1 and not regexp_matches(text, '[.。？?！!;；]$') and regexp_matches(text2, '^[a-z]')""", "b")
-def adjacent_merge(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("paper_id").orderBy("ordinal", "id")
-    b = current(spark, sf, "source_blocks").select("id", "paper_id", "ordinal", "text", "source_page_index")
-    x = b.select("*", *[F.lead(c).over(w).alias(f"{c}_2") for c in ("id", "text", "source_page_index", "ordinal")])
-    x = x.where((F.col("source_page_index_2") == F.col("source_page_index")) & (F.col("ordinal_2") == F.col("ordinal") + 1) & ~F.col("text").rlike(r"[.。？?！!;；]\z") & F.col("text_2").rlike(r"\A[a-z]"))
-    return x.select("id", F.col("id_2").alias("id2"), F.sha2(F.concat("text", "text_2"), 256).alias("merged"))
-
-
 @query("select paper_id, section_kind from q where number is not null group by paper_id, section_kind having list_has_all(list(distinct cast(number as varchar)), ['1', '2'])", "q")
 def complete_slots(spark: SparkSession, sf: str) -> DataFrame:
     q = current(spark, sf, "questions").where("number is not null").groupBy("paper_id", "section_kind").agg(F.collect_set("number").alias("_n"))
     return q.where(F.size(F.array_except(F.array(F.lit("1"), F.lit("2")), "_n")) == 0).select("paper_id", "section_kind")
 
 
-@query()
+@query("""with recursive w as (select path, paragraph_id, source_hash, length(translation) + length(regexp_replace(translation, '[^\\x{10000}-\\x{10ffff}]', '', 'g')) as units, contains(translation, '__') as alone, row_number() over (partition by path order by paragraph_id, source_hash) as i from t where translation is not null),
+ r as (select path, i, units as total, 1 as n, 0 as batch, alone as closed from w where i = 1 union all select w.path, w.i, case when fresh then w.units else r.total + w.units end, case when fresh then 1 else r.n + 1 end, case when fresh then r.batch + 1 else r.batch end, w.alone
+ from r join (select *, i - 1 as before from w) w on w.path = r.path and w.before = r.i, lateral (select r.closed or w.alone or r.n >= 6 or r.total + w.units > 5000 as fresh) f)
+ select w.path, paragraph_id, source_hash, units, w.alone, batch from w join r on r.path = w.path and r.i = w.i""", "t")
 def packed_work(spark: SparkSession, sf: str) -> DataFrame:
-    """Translations packed in order into batches of 6 and 5,000 units."""
+    """Translations packed in order into batches of 6 and 5,000 UTF-16 units."""
     t = current(spark, sf, "translations").where("translation is not null")
-    work = t.select("path", "paragraph_id", "source_hash", F.length("translation").alias("units"), F.contains("translation", F.lit("__")).alias("alone"))
+    work = t.select("path", "paragraph_id", "source_hash", fx.utf16_units(F.col("translation")).alias("units"), F.contains("translation", F.lit("__")).alias("alone"))
     return sequence.packed_batches(work, ["path"], ["paragraph_id", "source_hash"], "units", "alone", 6, 5000)
 
 
-@query()
+@query("""with recursive w as (select p_brand, p_size, p_partkey, p_retailprice as y, row_number() over (partition by p_brand, p_size order by p_retailprice, p_partkey) as i from part),
+ r as (select p_brand, p_size, i, [y] as tops, 0 as line from w where i = 1 union all select w.p_brand, w.p_size, w.i, case when hit is null then list_append(r.tops, w.y) else r.tops end, coalesce(hit, len(r.tops))
+ from r join (select *, i - 1 as before from w) w on w.p_brand = r.p_brand and w.p_size = r.p_size and w.before = r.i, lateral (select list_min(list_filter(range(greatest(len(r.tops) - 3, 0), len(r.tops)), lambda k: abs(r.tops[k + 1] - w.y) <= 5.0)) as hit) f)
+ select w.p_brand, w.p_size, w.p_partkey, w.y, r.line from w join r on r.p_brand = w.p_brand and r.p_size = w.p_size and r.i = w.i""")
 def clustered_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Spans (here: parts of one brand and size, placed by price) clustered into lines against the last three."""
     p = table(spark, sf, "part").select("p_brand", "p_size", "p_partkey", F.col("p_retailprice").alias("y"))
@@ -209,12 +199,6 @@ def wholly_hidden_targets(spark: SparkSession, sf: str) -> DataFrame:
     return tree.wholly_owned(links, "part", "owner", hidden, "c_custkey")
 
 
-@query("""select paper_id, sha256(context_json) as context_key, min_by(id, ordinal) as first_id, count(*) as members from (select paper_id, id, ordinal, json_extract_string(context_json, '$.kind') as context_json from q where context_json is not null) where context_json is not null group by paper_id, context_json having count(*) > 1""", "q")
-def shared_contexts(spark: SparkSession, sf: str) -> DataFrame:
-    q = current(spark, sf, "questions").select("paper_id", "id", "ordinal", F.get_json_object("context_json", "$.kind").alias("kind"))
-    return tree.shared_contexts(q, ["paper_id"], "kind", "ordinal", "id")
-
-
 @query("""with e as (select x.paper_id, x.id, x.section_kind, x.ordinal, (select min(y.id) from q y where y.paper_id = x.paper_id and y.section_kind = x.section_kind and y.number = '1') as parent from q x)
  select e.id from e left join q p on p.paper_id = e.paper_id and p.id = e.parent where e.parent is not null and (p.ordinal is null or p.ordinal >= e.ordinal)""", "q")
 def toc_order(spark: SparkSession, sf: str) -> DataFrame:
@@ -229,7 +213,9 @@ def linked_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return current(spark, sf, "questions").select("id", F.coalesce(F.lag("id").over(w), F.lit("")).alias("previous"), F.coalesce(F.lead("id").over(w), F.lit("")).alias("next"))
 
 
-@query()
+@query("""with c as (select c_nationkey as k, string_agg('{"id":"c' || c_custkey || '","label":"C' || c_custkey || '","children":[]}', ',' order by 'c' || c_custkey) as kids from customer group by 1),
+ n as (select n_regionkey as k, string_agg('{"id":"n' || n_nationkey || '","label":"N' || n_nationkey || '","children":[' || coalesce(c.kids, '') || ']}', ',' order by 'n' || n_nationkey) as kids from nation left join c on c.k = n_nationkey group by 1)
+ select 'r' || r_regionkey as id, '{"id":"r' || r_regionkey || '","label":"R' || r_regionkey || '","children":[' || coalesce(n.kids, '') || ']}' as tree from region left join n on n.k = r_regionkey""")
 def nested_places(spark: SparkSession, sf: str) -> DataFrame:
     nodes = _places(spark, sf).withColumn("label", F.upper("id"))
     return tree.nested(nodes, "id", "parent", "label", 2)

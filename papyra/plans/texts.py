@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,9 +16,17 @@ query = Registry()
 _S = "[\\s\\x{00A0}\\x{2000}-\\x{200A}\\x{202F}\\x{205F}\\x{3000}\\x{1680}\\x{2028}\\x{2029}\\x{85}\\x{0b}]+"
 
 
-@query("select doc_id, length(t) as n, sha256(t) as digest from (select doc_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '', 'g') as t from documents where text is not null)")
+# What SQL needs to fold compatibility characters: every one that folds to a single character, and the Latin ligatures.
+_FOLDS = {chr(o): t for o in range(0xA0, 0x10000) if not 0xD800 <= o < 0xE000 for t in [unicodedata.normalize("NFKC", chr(o))] if len(t) == 1 and t != unicodedata.normalize("NFC", chr(o)) and t.isalnum()}
+_FOLDED = f"translate(text, '{''.join(_FOLDS)}', '{''.join(_FOLDS.values())}')"
+for _c in map(chr, range(0xFB00, 0xFB07)):
+    _FOLDED = f"replace({_FOLDED}, '{_c}', '{unicodedata.normalize('NFKC', _c)}')"
+
+
+@query(f"select doc_id, length(t) as n, sha256(t) as digest from (select doc_id, regexp_replace(lower(nfc_normalize({_FOLDED})), '[^\\p{{L}}\\p{{N}}]+', '', 'g') as t from documents where text is not null)")
 def normalised_texts(spark: SparkSession, sf: str) -> DataFrame:
-    t = fx.letters_digits(F.col("text"))
+    """NFKC, lower case, letters and digits only."""
+    t = fx.letters_digits(fx.nfkc_if_needed(F.col("text")))
     return table(spark, sf, "documents").where("text is not null").select("doc_id", F.length(t).alias("n"), F.sha2(t, 256).alias("digest"))
 
 
@@ -87,10 +97,10 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     return q.join(b, "id")
 
 
-@query(f"""with {_PAIRS}, s as (select id, block, length(stem) // 12 as n, list_transform(range(0, greatest(length(stem) // 12, 1)), lambda i: substr(stem, i * 12 + 1, 12)) as sh, text from x)
- select id, block, case when n < 1 then 1.0 else round(len(list_filter(sh, lambda y: contains(text, y))) / n, 3) end as coverage from s""", "qb")
+@query(f"""with {_PAIRS}, y as (select id, block, stem, text, case when regexp_matches(stem, '[\\x{{3400}}-\\x{{9fff}}]') then 12 else 24 end as w from x), s as (select id, block, w, length(stem) // w as n, list_transform(range(0, greatest(length(stem) // w, 1)), lambda i: substr(stem, i * w + 1, w)) as sh, text from y)
+ select id, block, case when n < 1 then 1.0 else round(len(list_filter(sh, lambda v: contains(text, v))) / n, 3) end as coverage from s""", "qb")
 def shingle_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    return _pairs(spark, sf).select("id", "block", F.round(fx.shingle_coverage(F.col("stem"), F.col("text"), 12), 3).alias("coverage"))
+    return _pairs(spark, sf).select("id", "block", F.round(fx.script_coverage(F.col("stem"), F.col("text")), 3).alias("coverage"))
 
 
 @query(f"""with {_PAIRS}, g as (select id, block, stem, text, list_distinct(list_transform(range(1, greatest(length(stem) - 3, 1)), lambda i: substr(stem, i, 5))) as a, list_distinct(list_transform(range(1, greatest(length(text) - 3, 1)), lambda i: substr(text, i, 5))) as b from x),
@@ -102,10 +112,11 @@ def similar_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return scored.withColumn("_n", F.row_number().over(w)).where("_n <= 3").drop("_n")
 
 
-@query(f"""with {_PAIRS}, w as (select id, block, list_distinct(regexp_extract_all(lower(stem), '[a-z]{{3,}}')) as a, list_distinct(regexp_extract_all(lower(text), '[a-z]{{3,}}')) as b from x)
- select id, block, round(len(list_intersect(a, b)) / greatest(len(a), 1), 3) as overlap from w""", "qb")
+@query(f"""with {_PAIRS}, w as (select id, block, list_distinct(regexp_extract_all(lower(stem), '[a-z]{{3,}}')) as a, list_distinct(regexp_extract_all(lower(text), '[a-z]{{3,}}')) as b, regexp_replace(stem, '[^\\x{{3400}}-\\x{{9fff}}]', '', 'g') as c, regexp_replace(text, '[^\\x{{3400}}-\\x{{9fff}}]', '', 'g') as d from x),
+ g as (select id, block, a, b, list_distinct(list_transform(range(1, greatest(length(c) - 2, 1)), lambda i: substr(c, i, 4))) as c4, list_distinct(list_transform(range(1, greatest(length(d) - 2, 1)), lambda i: substr(d, i, 4))) as d4 from w)
+ select id, block, round(len(list_intersect(a, b)) / greatest(len(a), 1), 3) as overlap, round(len(list_intersect(c4, d4)) / greatest(len(c4), 1), 3) as han_overlap from g""", "qb")
 def word_overlaps(spark: SparkSession, sf: str) -> DataFrame:
-    return _pairs(spark, sf).select("id", "block", F.round(fx.word_overlap(F.col("stem"), F.col("text")), 3).alias("overlap"))
+    return _pairs(spark, sf).select("id", "block", F.round(fx.word_overlap(F.col("stem"), F.col("text")), 3).alias("overlap"), F.round(fx.han_overlap(F.col("stem"), F.col("text")), 3).alias("han_overlap"))
 
 
 @query()
@@ -114,6 +125,13 @@ def matching_ratios(spark: SparkSession, sf: str) -> DataFrame:
     return _pairs(spark, sf).where("length(stem) = length(text)").select("id", "block", fx.matching_ratio("stem", "text").alias("ratio"))
 
 
+@query("select doc_id, sha256(text) as joined, true as within from documents where text is not null")
+def lossless_round_trips(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents split without loss and joined again: digest of what comes back, and no part over 5,000 UTF-16 units."""
+    d = table(spark, sf, "documents").where("text is not null").select("doc_id", fx.split_lossless("text", F.lit(5000)).alias("_p"))
+    return d.select("doc_id", F.sha2(F.array_join("_p", ""), 256).alias("joined"), F.forall("_p", lambda x: fx.utf16_units(x) <= 5000).alias("within"))
+
+
 @query()
 def lossless_parts(spark: SparkSession, sf: str) -> DataFrame:
     """Parts of at most 500 UTF-16 units of every document, numbered."""
@@ -128,6 +146,14 @@ def parsed_options(spark: SparkSession, sf: str) -> DataFrame:
     return b.select("id", F.explode(fx.labelled_options("text")).alias("_o")).select("id", "_o.label", "_o.text")
 
 
+@query("select id, len(regexp_extract_all(stem, '_{2,}|\\$[^$]+\\$|\\{\\{[^}]*\\}\\}|\\[\\d+\\]')) as kept, true as exact, len(regexp_extract_all(stem, '_{2,}|\\$[^$]+\\$|\\{\\{[^}]*\\}\\}|\\[\\d+\\]')) = 0 as survives from q where stem is not null", "q")
+def protection_round_trips(spark: SparkSession, sf: str) -> DataFrame:
+    """Stems masked and restored exactly; with the first mask struck out, only stems without any come back."""
+    q = current(spark, sf, "questions").where("stem is not null").select("id", "stem", fx.protect("stem").alias("_p"))
+    struck = fx.restore(F.replace("_p.masked", F.lit("⟦0⟧"), F.lit("")), "_p.kept")
+    return q.select("id", F.size("_p.kept").alias("kept"), (fx.restore("_p.masked", "_p.kept") == F.col("stem")).alias("exact"), struck.isNotNull().alias("survives"))
+
+
 @query()
 def protected_stems(spark: SparkSession, sf: str) -> DataFrame:
     """Stems with formulas masked, and restored again."""
@@ -135,7 +161,7 @@ def protected_stems(spark: SparkSession, sf: str) -> DataFrame:
     return q.select("id", "_p.masked", (fx.restore("_p.masked", "_p.kept") == F.col("stem")).alias("exact"))
 
 
-@query()
+@query(r"select id, regexp_replace(stem, '\\frac\{(\w+)\}\{(\w+)\}', '\1/\2', 'g') as plain from q where contains(stem, '\frac')", "q")
 def fractions_spelt_out(spark: SparkSession, sf: str) -> DataFrame:
     q = current(spark, sf, "questions").where(F.contains("stem", F.lit("\\frac")))
     return q.select("id", fx.plain_fractions("stem").alias("plain"))
@@ -152,7 +178,7 @@ def json_contexts(spark: SparkSession, sf: str) -> DataFrame:
     return current(spark, sf, "questions").where("context_json is not null").select("id", c["kind"].alias("kind"), F.try_element_at(c["sourceBlocks"], F.lit(1)).alias("first_block"))
 
 
-@query()
+@query("select id, json_extract_string(context_json, '$.blankNumber') as blank from q where context_json is not null", "q")
 def json_variant(spark: SparkSession, sf: str) -> DataFrame:
     """Open JSON read as a variant; keys nobody declared stay reachable."""
     v = F.try_parse_json("context_json")
@@ -178,21 +204,6 @@ def classified_candidates(spark: SparkSession, sf: str) -> DataFrame:
 # Evidence and attachments
 
 
-@query("""with e as (select id as question_id, paper_id, number from q where number in ('1', '2', '3')), b2 as (select question_id, count(*) as n from b where role = 'stem' group by question_id)
- select e.paper_id, e.number, count(e.question_id) as records, sum(coalesce(b2.n, 0)) as blocks from e left join b2 on b2.question_id = e.question_id group by e.paper_id, e.number having count(e.question_id) <> 1 or sum(coalesce(b2.n, 0)) <> 1""", "qb")
-def expected_inventory(spark: SparkSession, sf: str) -> DataFrame:
-    e = current(spark, sf, "questions").where(F.col("number").isin("1", "2", "3")).select(F.col("id").alias("question_id"), "paper_id", "number")
-    n = current(spark, sf, "source_blocks").where("role = 'stem'").groupBy("question_id").agg(F.count("*").alias("_n"))
-    got = e.join(n, "question_id", "left").groupBy("paper_id", "number").agg(F.count("*").alias("records"), F.sum(F.coalesce("_n", F.lit(0))).alias("blocks"))
-    return got.where("records <> 1 or blocks <> 1")
-
-
-@query("""with x as (select question_id, string_split(solution, '、') as parts from a where regexp_matches(solution, '^[A-H](、[A-H])+$')) select question_id, len(parts) as n, len(list_distinct(parts)) = len(parts) as distinct_letters from x""", "a")
-def letter_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    x = current(spark, sf, "answers").where(F.col("solution").rlike(r"\A[A-H](、[A-H])+\z")).select("question_id", F.split("solution", "、").alias("_p"))
-    return x.select("question_id", F.size("_p").alias("n"), (F.size(F.array_distinct("_p")) == F.size("_p")).alias("distinct_letters"))
-
-
 @query("""with x as (select paper_id, number, count(*) as n, list_distinct(flatten(list(cast(json_extract_string(source_pages_json, '$[*]') as varchar[])))) as pages, sum(len(cast(json_extract_string(source_pages_json, '$[*]') as varchar[]))) as total from q where source_pages_json is not null and number is not null group by paper_id, number)
  select paper_id, number, n, len(pages) = total as pages_disjoint from x""", "q")
 def page_set_disambiguation(spark: SparkSession, sf: str) -> DataFrame:
@@ -217,13 +228,19 @@ def unique_anchor_cut(spark: SparkSession, sf: str) -> DataFrame:
     return x.where((F.col("place") > 1) & once).select("id", "place")
 
 
-@query("""with e as (select id, paper_id, unnest(cast(json_extract_string(context_json, '$.sourceBlocks[*]') as varchar[])) as l, generate_subscripts(cast(json_extract_string(context_json, '$.sourceBlocks[*]') as varchar[]), 1) as n from q where context_json is not null)
- select e.id, sha256(string_agg(coalesce(b.text, ''), chr(10) order by e.n)) as digest, count(b.id) as found from e left join b on b.paper_id = e.paper_id and b.local_id = e.l group by e.id""", "qb")
+@query("""with e as (select id, paper_id, unnest(cast(json_extract_string(context_json, '$.sourceBlocks[*]') as varchar[])) as l, generate_subscripts(cast(json_extract_string(context_json, '$.sourceBlocks[*]') as varchar[]), 1) as n from q where context_json is not null),
+ u as (select paper_id, l from e group by paper_id, l having count(distinct id) > 1), j as (select e.*, b.id as bid, b.ordinal, b.text, lag(b.ordinal) over (partition by e.id order by e.n) as before, u.l is not null as again from e left join b on b.paper_id = e.paper_id and b.local_id = e.l left join u on u.paper_id = e.paper_id and u.l = e.l)
+ select id, sha256(string_agg(coalesce(text, ''), chr(10) order by n)) as digest, count(bid) as found, count(*) as listed, bool_and(before is null or ordinal > before) as in_order, bool_or(again) as reused from j group by id""", "qb")
 def rebuilt_contexts(spark: SparkSession, sf: str) -> DataFrame:
+    """Contexts rebuilt from their blocks: digest of the text, whether all blocks exist, stand in order, and are used by no other question."""
     q = current(spark, sf, "questions").where("context_json is not null").select("id", "paper_id", F.posexplode(F.from_json("context_json", "sourceBlocks array<string>")["sourceBlocks"]).alias("n", "local_id"))
-    b = current(spark, sf, "source_blocks").select("paper_id", "local_id", F.col("id").alias("_b"), "text")
+    b = current(spark, sf, "source_blocks").select("paper_id", "local_id", F.col("id").alias("_b"), "text", "ordinal")
+    used = q.groupBy("paper_id", "local_id").agg((F.count_distinct("id") > 1).alias("_again"))
+    rows = q.join(b, ["paper_id", "local_id"], "left").join(used, ["paper_id", "local_id"])
+    rows = rows.withColumn("_before", F.lag("ordinal").over(Window.partitionBy("id").orderBy("n")))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("n", F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"])
-    return q.join(b, ["paper_id", "local_id"], "left").groupBy("id").agg(F.sha2(F.array_join(parts, "\n"), 256).alias("digest"), F.count("_b").alias("found"))
+    ordered = F.bool_and(F.col("_before").isNull() | (F.col("ordinal") > F.col("_before")))
+    return rows.groupBy("id").agg(F.sha2(F.array_join(parts, "\n"), 256).alias("digest"), F.count("_b").alias("found"), F.count("*").alias("listed"), ordered.alias("in_order"), F.bool_or("_again").alias("reused"))
 
 
 @query("select paper_id, sha256(string_agg(coalesce(text, '') || coalesce(status, ''), '|' order by ordinal, id)) as revision from b group by paper_id", "b")
@@ -262,22 +279,24 @@ def matrix_square(spark: SparkSession, sf: str) -> DataFrame:
     return m.join(right, "j").groupBy("i", "k").agg(F.sum(F.col("v") * F.col("u")).alias("v")).withColumnRenamed("k", "j")
 
 
-@query("""select a.vec_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: abs(cast(x[1] as double) - cast(x[2] as double)))) / len(a.embedding), 4) as mean_difference from embeddings a join embeddings b on b.vec_id = a.vec_id + 1""")
+@query("""with x as (select a.vec_id, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: abs(cast(x[1] as double) - cast(x[2] as double)))) / len(a.embedding) as d from embeddings a join embeddings b on b.vec_id = a.vec_id + 1) select vec_id, round(d, 4) as mean_difference, 100 * round(d, 4) > 8 as beyond from x""")
 def mean_differences(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean absolute difference of neighbours, and whether it lies beyond 8 hundredths."""
     e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
     after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b"))
     gaps = F.zip_with("a", "b", lambda x, y: F.abs(x - y))
-    return e.join(after, "vec_id").select("vec_id", F.round(F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x) / F.size("a"), 4).alias("mean_difference"))
+    mean = F.round(F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x) / F.size("a"), 4)
+    return e.join(after, "vec_id").select("vec_id", mean.alias("mean_difference"), (100 * mean > 8).alias("beyond"))
 
 
-@query("""with x as (select p.id, d.source as notice, 1 as rank from p join documents d on d.paper_id = p.id where d.source is not null union all select id, kind, 0 from p), y as (select id, notice, min(rank) as r from x group by id, notice)
- select id, string_agg(notice, '|' order by r, notice) as notices from y group by id""", "p")
+@query("""with x as (select id, kind as notice, 0 as r, 0 as at from p union all select d.paper_id, '来源：' || d.source, 1, min(d.doc_id) from documents d where d.source is not null and d.paper_id in (select id from p) group by 1, 2)
+ select id, string_agg(notice, '|' order by r, x.at, notice) as notices from x group by id""", "p")
 def merged_notices(spark: SparkSession, sf: str) -> DataFrame:
+    """A paper's own notice, then those of its documents with a prefix, each once, in order of first appearance."""
     p, d = current(spark, sf, "papers"), table(spark, sf, "documents").where("source is not null")
-    x = d.select(F.col("paper_id").alias("id"), F.col("source").alias("notice"), F.lit(1).alias("r")).join(p.select("id"), "id", "left_semi").unionByName(p.select("id", F.col("kind").alias("notice"), F.lit(0).alias("r")))
-    y = x.groupBy("id", "notice").agg(F.min("r").alias("r"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("r", "notice"))), lambda v: v["notice"])
-    return y.groupBy("id").agg(F.array_join(F.array_distinct(ordered), "|").alias("notices"))
+    linked = d.join(p.select(F.col("id").alias("paper_id")), "paper_id", "left_semi").groupBy(F.col("paper_id").alias("id"), F.concat(F.lit("来源："), "source").alias("notice")).agg(F.min("doc_id").alias("at")).withColumn("r", F.lit(1))
+    own = p.select("id", F.col("kind").alias("notice"), F.lit(0).cast("long").alias("at"), F.lit(0).alias("r"))
+    return own.unionByName(linked).groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "at", "notice"))), lambda v: v["notice"]), "|").alias("notices"))
 
 
 @query("""with x as (select id, text, regexp_replace(text, '^[0-9]+\\. ?', '') as rest from b where role = 'stem' and text is not null) select x.id, x.rest = q.stem as exact_remainder from x join b on b.id = x.id join q on q.id = b.question_id where q.stem is not null""", "bq")
@@ -287,11 +306,4 @@ def exact_remainders(spark: SparkSession, sf: str) -> DataFrame:
     return b.join(q, "question_id").select("id", (F.col("rest") == F.col("stem")).alias("exact_remainder"))
 
 
-@query("""with u as (select q.id, count(b.id) as updated from q left join b on b.question_id = q.id and b.role = 'answer' group by q.id) select updated, count(*) as questions from u group by updated""", "qb")
-def update_counts(spark: SparkSession, sf: str) -> DataFrame:
-    b = current(spark, sf, "source_blocks").where("role = 'answer'").groupBy(F.col("question_id").alias("id")).agg(F.count("*").alias("updated"))
-    u = current(spark, sf, "questions").select("id").join(b, "id", "left").select(F.coalesce("updated", F.lit(0)).alias("updated"))
-    return u.groupBy("updated").agg(F.count("*").alias("questions"))
-
-
 QUERIES, SQL = query.queries, query.sql
