@@ -7,10 +7,11 @@ projection of it, so Spark reads only the fields a table needs; ids are composit
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyra.functions.text import answer_letters, paragraphs
+from papyra.operators.relate import classified_lookup
 
 _OPTION = "struct<label:string,sourceLabel:string,text:string,sourceOrder:int>"
 _ANSWER = "struct<value:string,solution:string,explanation:string,commentary:string,knowledge:string,status:string,sourceDocumentId:string,sourceBlocks:array<string>,sourcePages:array<string>>"
@@ -27,6 +28,8 @@ PAPER = (
     f"blocks array<{_BLOCK}>, questions array<{_QUESTION}>, toc array<struct<id:string,kind:string,label:string,parentId:string>>"
 )
 CHOICE = ("single_choice", "multiple_choice")
+# Words by which an answer refers to another question of its paper.
+REFERENCE = "(?:见|同|参见)第[0-9]{1,3}题"
 
 
 def build(papers: DataFrame) -> dict[str, DataFrame]:
@@ -51,17 +54,32 @@ def build(papers: DataFrame) -> dict[str, DataFrame]:
     subs = q.select("question_id", F.posexplode("subquestions").alias("_i", "s"))
     nodes = nodes_of("paper", p, F.col("paper_id"), F.lit(None).cast("string")).unionByName(nodes_of("section", sections, section_id, F.col("paper_id"))).unionByName(nodes_of("question", q, F.col("question_id"), section_id))
     nodes = nodes.unionByName(nodes_of("option", options, F.col("id"), F.col("question_id"))).unionByName(nodes_of("answer", q, F.concat("question_id", F.lit("#answer")), F.col("question_id"))).unionByName(nodes_of("subquestion", subs, F.concat("question_id", F.lit("#p:"), (F.col("_i") + 1).cast("string")), F.col("question_id")))
-    first = context.groupBy("paper_id", "_key").agg(F.min_by("question_id", "ordinal").alias("_first"))
-    links = context.join(first, ["paper_id", "_key"]).select(F.col("question_id").alias("from_id"), F.concat("_first", F.lit("#context")).alias("to_id"), F.lit("shared_context").alias("link_type"))
-    later = q.select("paper_id", "question_id", F.explode("continuations").alias("c")).join(q.select("paper_id", F.col("number").alias("_n"), F.col("question_id").alias("_to")), "paper_id").where("c.questionNumber = _n")
-    links = links.unionByName(later.select(F.col("question_id").alias("from_id"), F.col("_to").alias("to_id"), F.lit("continuation").alias("link_type")))
-    units = q.select("question_id", F.posexplode(paragraphs(F.col("stem"))).alias("_i", "text")).select(F.concat("question_id", F.lit("#u:"), (F.col("_i") + 1).cast("string")).alias("id"), "question_id", (F.col("_i") + 1).alias("ordinal"), "text")
+    first = context.groupBy("paper_id", "_key").agg(F.min_by("question_id", "ordinal").alias("_first"), F.count("*").alias("_n"))
+    nodes = nodes.unionByName(nodes_of("context", first, F.concat("_first", F.lit("#context")), F.col("_first")))
+    links = context.join(first, ["paper_id", "_key"]).select(F.col("question_id").alias("from_id"), F.concat("_first", F.lit("#context")).alias("to_id"), F.lit("shared_context").alias("link_type"), F.lit(1).alias("ordinal"))
+    later = q.select("paper_id", "question_id", F.posexplode("continuations").alias("_i", "c")).join(q.select("paper_id", F.col("number").alias("_n"), F.col("question_id").alias("_to")), "paper_id").where("c.questionNumber = _n")
+    links = links.unionByName(later.select(F.col("question_id").alias("from_id"), F.col("_to").alias("to_id"), F.lit("continuation").alias("link_type"), (F.col("_i") + 1).alias("ordinal")))
+    units = q.select("question_id", F.concat(F.lit("$.questions["), (F.col("ordinal") - 1).cast("string"), F.lit("].stem")).alias("json_path"), F.posexplode(paragraphs(F.col("stem"))).alias("_i", "text")).select("json_path", F.concat("question_id", F.lit("#u:"), (F.col("_i") + 1).cast("string")).alias("id"), "question_id", (F.col("_i") + 1).alias("ordinal"), "text")
     marks = options.groupBy("question_id").agg(F.count_if(F.col("is_correct") == 1).alias("_marks"))
     reason = F.when(F.col("status") != "complete", "incomplete_question").when(F.coalesce(F.col("answer.status"), F.lit("missing")) == "missing", "answer_missing").when(F.col("answer.status") == "ambiguous", "answer_ambiguous").when(F.coalesce("_marks", F.lit(0)) == 0, "no_marks")
     score = q.where(in_bank == 1).join(marks, "question_id", "left").select("question_id", reason.isNull().cast("int").alias("scoreable"), reason.alias("reason"))
     repeated = options.groupBy("question_id", "label").agg(F.count("*").alias("_n")).where("_n > 1").select("question_id", F.lit("duplicate_option_label").alias("code"))
-    unsure = q.where((F.col("answer.status") == "explicit") & F.col("questionType").isin(*CHOICE) & (F.col("status") == "complete") & marked.isNull()).select("question_id", F.lit("unsafe_choice_mapping").alias("code"))
+    unsure = q.where((F.col("answer.status") == "explicit") & F.col("questionType").isin(*CHOICE) & (F.col("status") == "complete") & (F.size("options") > 0) & marked.isNull()).select("question_id", F.lit("unsafe_choice_mapping").alias("code"))
     labels = q.select("question_id", F.posexplode("labels").alias("_i", "l"))
+    issues = repeated.unionByName(unsure)
+    # Numbers that begin again open a form; options that several questions of a paper share are one set.
+    at = Window.partitionBy("paper_id").orderBy("ordinal")
+    number = F.col("number").try_cast("int")
+    forms = q.where(in_bank == 1).withColumn("_again", F.coalesce(number <= F.lag(number).over(at), F.lit(False)).cast("int")).withColumn("form", 1 + F.sum("_again").over(at)).withColumn("form_id", F.concat("paper_id", F.lit("#f:"), F.col("form").cast("string")))
+    texts = F.transform("options", lambda x: F.coalesce(x["text"], F.lit("")))
+    sets = q.where("size(options) > 0").withColumn("set_id", F.concat("paper_id", F.lit("#c:"), F.sha2(F.to_json(texts), 256)))
+    of_set = sets.groupBy("paper_id", "set_id").agg(F.min_by("options", "ordinal").alias("_o"), F.count("*").alias("questions"))
+    # Answers that name another question of their paper; a target counts only if exactly one question has the number.
+    named = q.select("paper_id", "question_id", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"answer.{c}").alias("t")) for c in ("value", "solution", "explanation", "commentary")])).alias("_a"))
+    named = named.select("paper_id", "question_id", "_a.field", F.posexplode(F.regexp_extract_all("_a.t", F.lit(REFERENCE), F.lit(0))).alias("_i", "literal_text"))
+    asked = named.select(F.struct("question_id", "field", (F.col("_i") + 1).alias("ordinal"), "literal_text").alias("_r"), F.concat_ws("#", "paper_id", F.regexp_extract("literal_text", "[0-9]+", 0)).alias("_k"))
+    offered = q.where((in_bank == 1) & F.col("number").isNotNull()).select(F.concat_ws("#", "paper_id", "number").alias("_k"), F.col("question_id").alias("target"))
+    references = classified_lookup(asked, "_r", "_k", offered, "_k", "target").select("_r.*", F.col("outcome").alias("status"), F.col("target").alias("target_question_id"))
     return {
         "papers": p.select("paper_id", "title", "category", F.col("categoryLabel").alias("category_label"), "kind", "year", "template", "source.original", "source.reflow", "pages", F.size(F.coalesce("questions", F.array().cast(papers.schema["questions"].dataType))).alias("record_count"), F.size(F.coalesce("blocks", F.array().cast(papers.schema["blocks"].dataType))).alias("block_count")),
         "questions": q.select(F.col("question_id").alias("id"), "paper_id", "local_id", "ordinal", "number", F.col("questionType").alias("question_type"), F.col("recordType").alias("record_type"), F.col("sectionKind").alias("section_kind"), F.col("sectionTitle").alias("section_title"), "stem", "status", in_bank.alias("in_bank")),
@@ -75,23 +93,36 @@ def build(papers: DataFrame) -> dict[str, DataFrame]:
         "question_labels": labels.select("question_id", (F.col("_i") + 1).alias("ordinal"), F.col("l.id").alias("label_id")),
         "semantic_nodes": nodes,
         "semantic_links": links,
-        "content_units": units,
-        "unit_provenance": units.select(F.col("id").alias("unit_id"), F.sha2("text", 256).alias("source_hash"), F.concat(F.lit("$.questions[?].stem")).alias("json_path")),
+        "content_units": units.drop("json_path"),
+        "unit_provenance": units.select(F.col("id").alias("unit_id"), F.sha2("text", 256).alias("source_hash"), "json_path"),
         "scoreability": score,
-        "quality_issues": repeated.unionByName(unsure),
+        "quality_issues": issues,
+        "quality_issue_source_spans": issues.join(bridge("sourceBlocks"), "question_id").select("question_id", "code", "source_block_id"),
+        "paper_forms": forms.groupBy("form_id", "paper_id", "form").agg(F.count("*").alias("questions")),
+        "question_paper_forms": forms.select("question_id", "form_id"),
+        "choice_sets": of_set.select(F.col("set_id").alias("id"), "paper_id", F.size("_o").alias("options"), "questions"),
+        "choice_set_options": of_set.select("set_id", F.posexplode("_o").alias("_i", "o")).select(F.concat("set_id", F.lit(":"), (F.col("_i") + 1).cast("string")).alias("id"), "set_id", (F.col("_i") + 1).alias("position"), "o.label", "o.text"),
+        "question_choice_sets": sets.select("question_id", "set_id"),
+        "answer_references": references,
+        "input_hashes": papers.select(F.col("id").alias("paper_id"), F.sha2(F.to_json(F.struct(*papers.columns), {"ignoreNullFields": "false"}), 256).alias("sha256")),
+        "meta": papers.groupBy("schema").agg(F.count("*").alias("papers")).select(F.lit("schema").alias("key"), F.col("schema").alias("value"), "papers"),
     }
 
 
 def checks(tables: dict[str, DataFrame], audit: dict[str, int]) -> dict[str, DataFrame]:
     """Violations by rule, over written tables: keys, order, references, conservation and announced totals."""
     from papyra.operators.constraints import Check, Reference, Unique, totals, violations
+    from papyra.operators.relate import inventory_diff
     from papyra.operators.sequence import not_contiguous
 
-    rules = [Unique("papers", ("paper_id",)), Unique("questions", ("id",)), Unique("options", ("question_id", "source_position")), Unique("source_blocks", ("id",)), Reference("options", "question_id", "questions", "id"), Reference("question_source_blocks", "source_block_id", "source_blocks", "id"), Check("questions", "ordinal", "ordinal > 0", "id")]
+    rules = [Unique("papers", ("paper_id",)), Unique("questions", ("id",)), Unique("options", ("question_id", "source_position")), Unique("source_blocks", ("id",)), Reference("options", "question_id", "questions", "id"), Reference("question_source_blocks", "source_block_id", "source_blocks", "id"), Reference("semantic_links", "to_id", "semantic_nodes", "id"), Unique("semantic_nodes", ("id",)), Check("questions", "ordinal", "ordinal > 0", "id")]
+    bank = tables["questions"].where("in_bank = 1")
     return {
         "integrity": violations(tables.__getitem__, rules),
         "option order": not_contiguous(tables["options"], ["question_id"], "default_position"),
         "question records": totals(tables["questions"], {"records": audit["questionRecords"]}, {"records": "count(*)"}),
         "source blocks": totals(tables["source_blocks"], {"blocks": audit["sourceBlocks"]}, {"blocks": "count(*)"}),
+        "form members": inventory_diff(bank.select("id"), tables["question_paper_forms"].select(F.col("question_id").alias("id")), "id"),
+        "score rows": inventory_diff(bank.select("id"), tables["scoreability"].select(F.col("question_id").alias("id")), "id"),
         "spans": totals(tables["source_spans"], {"spans": audit["sourceBlocks"]}, {"spans": "count(*)"}),
     }

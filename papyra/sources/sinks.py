@@ -5,7 +5,9 @@ Paths go through Hadoop's FileSystem, so a folder may be on any shared storage.
 
 from __future__ import annotations
 
+import contextlib
 import json
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,21 +57,43 @@ def publish(spark: SparkSession, root: str, version: str, tables: dict[str, Data
 
     A check is a DataFrame of violations over the staged tables (temporary views of their names); any
     row leaves the pointer as it was. ``expected`` is the version the caller built on: if another has
-    been published since, nothing is switched (compare and swap). Earlier versions stay.
+    been published since, nothing is switched. Comparing and switching happen under a lock file that only
+    one writer can create, so of two writers one fails. What a failed publication has staged is removed;
+    earlier versions stay.
     """
     stage = f"{root}/{version}"
-    for name, df in tables.items():
-        df.write.mode("errorifexists").parquet(f"{stage}/{name}")
-        spark.read.parquet(f"{stage}/{name}").createOrReplaceTempView(name)
-    for name, bad in checks.items():
-        if rows := bad.limit(3).collect():
-            raise ValueError(f"{name}: {rows}")
-    if expected != "any" and current(spark, root) != expected:
-        raise ValueError(f"{root} is at {current(spark, root)}, not {expected}")
-    _put(spark, f"{root}/{POINTER}", version)
+    fs, at, _ = _fs(spark, stage)
+    if fs.exists(at):
+        raise ValueError(f"{stage} exists")
+    try:
+        for name, df in tables.items():
+            df.write.mode("errorifexists").parquet(f"{stage}/{name}")
+            spark.read.parquet(f"{stage}/{name}").createOrReplaceTempView(name)
+        for name, bad in checks.items():
+            if rows := bad.limit(3).collect():
+                raise ValueError(f"{name}: {rows}")
+        with _lock(spark, f"{root}/{POINTER}.lock"):
+            if expected != "any" and current(spark, root) != expected:
+                raise ValueError(f"{root} is at {current(spark, root)}, not {expected}")
+            _put(spark, f"{root}/{POINTER}", version)
+    except BaseException:
+        fs.delete(at, True)
+        raise
     return stage
 
 
+@contextlib.contextmanager
+def _lock(spark: SparkSession, path: str) -> Iterator[None]:
+    """Held by whoever created the file; a lock left by a writer that died must be removed by hand."""
+    fs, p, _ = _fs(spark, path)
+    if not fs.createNewFile(p):
+        raise ValueError(f"{path} is held by another writer")
+    try:
+        yield
+    finally:
+        fs.delete(p, False)
+
+
 def upserted(state: DataFrame, news: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """State and news merged: the last version of each key by ``order``."""
     return latest(state.unionByName(news), keys, order)
@@ -86,6 +110,14 @@ def json_report(findings: DataFrame, path: str, by: str = "code") -> dict[str, i
     return {r[by]: r["count"] for r in findings.groupBy(by).count().collect()}
 
 
+def markdown_report(spark: SparkSession, counts: dict[str, int], title: str, path: str) -> str:
+    """The counts of a report as a Markdown table, the most frequent first, written to ``path``."""
+    lines = [f"# {title}", "", "| code | count |", "| --- | --- |", *(f"| {k} | {n} |" for k, n in sorted(counts.items(), key=lambda x: (-x[1], x[0])))]
+    text = "\n".join(lines) + "\n"
+    _put(spark, path, text)
+    return text
+
+
 def responses(df: DataFrame, key: str) -> DataFrame:
     """(key, body): each row as one JSON object, nulls kept."""
     return df.select(key, F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("body"))
