@@ -23,7 +23,7 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm.org.apache.hadoop.fs.Path
 
 
-def _read(spark: SparkSession, path: str) -> str | None:
+def read_text(spark: SparkSession, path: str) -> str | None:
     fs, p, _ = _fs(spark, path)
     if not fs.exists(p):
         return None
@@ -34,7 +34,7 @@ def _read(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-def _put(spark: SparkSession, path: str, text: str) -> None:
+def put_text(spark: SparkSession, path: str, text: str) -> None:
     """Write beside, then rename over: readers see the old or the new content."""
     fs, p, path_of = _fs(spark, path)
     beside = path_of(path + ".new")
@@ -47,9 +47,14 @@ def _put(spark: SparkSession, path: str, text: str) -> None:
     jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(beside), fs.makeQualified(p), over)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p, _ = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def current(spark: SparkSession, root: str) -> str | None:
     """The published version of a root, or None."""
-    return _read(spark, f"{root}/{POINTER}")
+    return read_text(spark, f"{root}/{POINTER}")
 
 
 def publish(spark: SparkSession, root: str, version: str, tables: dict[str, DataFrame], checks: dict[str, DataFrame], expected: str | None = "any") -> str:
@@ -75,7 +80,7 @@ def publish(spark: SparkSession, root: str, version: str, tables: dict[str, Data
         with _lock(spark, f"{root}/{POINTER}.lock"):
             if expected != "any" and current(spark, root) != expected:
                 raise ValueError(f"{root} is at {current(spark, root)}, not {expected}")
-            _put(spark, f"{root}/{POINTER}", version)
+            put_text(spark, f"{root}/{POINTER}", version)
     except BaseException:
         fs.delete(at, True)
         raise
@@ -114,7 +119,7 @@ def markdown_report(spark: SparkSession, counts: dict[str, int], title: str, pat
     """The counts of a report as a Markdown table, the most frequent first, written to ``path``."""
     lines = [f"# {title}", "", "| code | count |", "| --- | --- |", *(f"| {k} | {n} |" for k, n in sorted(counts.items(), key=lambda x: (-x[1], x[0])))]
     text = "\n".join(lines) + "\n"
-    _put(spark, path, text)
+    put_text(spark, path, text)
     return text
 
 

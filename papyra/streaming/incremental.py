@@ -6,11 +6,13 @@ micro-batches whose sink is idempotent, so a replayed batch changes nothing.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from papyra.sources.sinks import upserted
+from papyra.sources.sinks import put_text, read_text, remove, upserted
 
 
 def pending(work: DataFrame, done: DataFrame, quarantined: DataFrame, keys: list[str], eligible: Column) -> DataFrame:
@@ -25,16 +27,43 @@ def accepted(results: DataFrame, source: str, output: str) -> tuple[DataFrame, D
     return judged.where("reason is null").drop("reason"), judged.where("reason is not null")
 
 
-def merge_stream(stream: DataFrame, root: str, keys: list[str], order: list[str], checkpoint: str) -> StreamingQuery:
-    """Upsert a stream into a versioned folder: version n is written whole from n - 1 and the batch.
+MANIFEST = "MANIFEST"
+
+
+def _manifest(spark: SparkSession, root: str) -> dict:
+    text = read_text(spark, f"{root}/{MANIFEST}")
+    return json.loads(text) if text else {"batch": -1, "buckets": {}}
+
+
+def read_state(spark: SparkSession, root: str) -> DataFrame | None:
+    """The merged state, or None before the first batch."""
+    places = sorted(set(_manifest(spark, root)["buckets"].values()))
+    return spark.read.parquet(*places).drop("_bucket") if places else None
+
+
+def merge_stream(stream: DataFrame, root: str, keys: list[str], order: list[str], checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Upsert a stream into a folder of ``buckets`` hash buckets of the keys; see ``read_state``.
 
-    The version is the batch number, so a batch that is run again after a failure rewrites its own.
+    A batch rewrites only the buckets its keys fall into and then switches one manifest, which names the
+    folder of every bucket and the last batch. A batch that is run again after the switch does nothing;
+    one that failed before it writes the same folders again. Folders that a batch replaces are kept
+    until the next one, for readers under way.
     """
 
     def sink(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        state = batch.limit(0) if n == 0 else spark.read.schema(batch.schema).parquet(f"{root}/v{n - 1}")
-        upserted(state, batch, keys, order).write.mode("overwrite").parquet(f"{root}/v{n}")
+        now = _manifest(spark, root)
+        if now["batch"] >= n:
+            return
+        news = batch.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        touched = [r["_bucket"] for r in news.select("_bucket").distinct().collect()]  # at most ``buckets``
+        old = [now["buckets"][str(b)] for b in touched if str(b) in now["buckets"]]
+        state = spark.read.schema(batch.schema).parquet(*old) if old else batch.limit(0)
+        merged = upserted(state, batch, keys, order).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        merged.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{root}/b{n}")
+        put_text(spark, f"{root}/{MANIFEST}", json.dumps({"batch": n, "buckets": now["buckets"] | {str(b): f"{root}/b{n}/_bucket={b}" for b in touched}, "replaced": old}))
+        for place in now.get("replaced", []):
+            remove(spark, place)
 
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -131,11 +131,48 @@ def test_streams(spark, tmp_path):
     stream = incremental.file_stream(spark, f"{src}/*", "k int, v string, t int", 1)
     q = incremental.merge_stream(stream, root, ["k"], ["t"], str(tmp_path / "cp"))
     q.awaitTermination(120)
-    last = sorted(p.name for p in (tmp_path / "state").iterdir())[-1]
-    assert sorted(tuple(r) for r in spark.read.parquet(f"{root}/{last}").collect()) == [(1, "z", 2), (2, "b", 1)]
+    assert sorted(tuple(r) for r in incremental.read_state(spark, root).select("k", "v", "t").collect()) == [(1, "z", 2), (2, "b", 1)]
     events = spark.createDataFrame([("2024-01-01 00:10:00", "a", 1.0), ("2024-01-01 00:50:00", "a", 2.0), ("2024-01-01 02:00:00", "b", 4.0)], "ts string, kind string, v double").withColumn("ts", F.col("ts").cast("timestamp"))
     events.write.parquet(f"{src}-events")
     counts = incremental.windowed_counts(spark.readStream.schema(events.schema).parquet(f"{src}-events"), "ts", "kind", "v")
     q = counts.writeStream.outputMode("complete").format("memory").queryName("win").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((r["kind"], r["n"], r["total"]) for r in spark.table("win").collect()) == [("a", 2, 3.0), ("b", 1, 4.0)]
+
+
+def test_sqlite_tables_are_read_and_never_written(spark, tmp_path):
+    import sqlite3
+
+    from papyra.sources.database import _open, sqlite_table
+
+    path = str(tmp_path / "bank.db")
+    with sqlite3.connect(path) as c:
+        c.execute('create table "odd ""name" (id integer primary key, label text, share real, raw blob)')
+        c.executemany('insert into "odd ""name" values (?, ?, ?, ?)', [(i * 3, None if i % 5 == 0 else f"标{i}", i / 4, bytes([i % 256])) for i in range(1000)])
+        c.execute("create table empty (x integer)")
+    got = sqlite_table(spark, path, 'odd "name', 7)
+    assert got.dtypes == [("id", "bigint"), ("label", "string"), ("share", "double"), ("raw", "binary")]
+    assert got.count() == got.select("id").distinct().count() == 1000 and got.rdd.getNumPartitions() == 7
+    assert got.where("label is null").count() == 200 and sqlite_table(spark, path, "empty").count() == 0
+    with pytest.raises(sqlite3.OperationalError):
+        _open(path).execute("delete from empty")
+    with pytest.raises(Exception, match="no table"):
+        sqlite_table(spark, path, "absent").count()
+
+
+def test_a_state_batch_rewrites_its_buckets_only(spark, tmp_path):
+    src, root = tmp_path / "in", str(tmp_path / "state")
+    first = spark.createDataFrame([(i, "a", 1) for i in range(200)], "k int, v string, t int")
+    first.write.parquet(f"{src}/1")
+
+    def run():
+        stream = spark.readStream.schema(first.schema).option("recursiveFileLookup", True).parquet(str(src))
+        incremental.merge_stream(stream, root, ["k"], ["t"], str(tmp_path / "cp"), buckets=8).awaitTermination(120)
+        return incremental._manifest(spark, root)
+
+    one = run()
+    spark.createDataFrame([(7, "b", 2), (7, "old", 0)], first.schema).write.parquet(f"{src}/2")
+    two = run()
+    assert len(one["buckets"]) == 8 and sum(one["buckets"][b] != two["buckets"][b] for b in one["buckets"]) == 1
+    state = incremental.read_state(spark, root)
+    assert state.count() == 200 and [r["v"] for r in state.where("k = 7").collect()] == ["b"]
