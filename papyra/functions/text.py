@@ -201,6 +201,55 @@ def visible(markup: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"text": pd.Series(text, dtype=object), "links": pd.Series([p.links if p else None for p in got], dtype=object)})
 
 
+class _Elements(HTMLParser):
+    _EMPTY = ("br", "img", "hr", "input", "meta", "link", "wbr")
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.found: list[dict] = []
+        self.open: list[int] = []
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        a = dict(attrs)
+        self.found.append({"tag": tag, "id": a.get("id"), "classes": (a.get("class") or "").split(), "text": "", "parents": [self.found[i]["tag"] for i in self.open]})
+        if tag not in self._EMPTY:
+            self.open.append(len(self.found) - 1)
+
+    def handle_endtag(self, tag: str) -> None:
+        at = next((k for k in range(len(self.open) - 1, -1, -1) if self.found[self.open[k]]["tag"] == tag), None)
+        if at is not None:
+            del self.open[at:]
+
+    def handle_data(self, data: str) -> None:
+        for i in self.open:
+            self.found[i]["text"] += data
+
+
+def _elements(markup: str) -> list[dict]:
+    p = _Elements()
+    p.feed(markup)
+    p.close()
+    return [e | {"text": re.sub(r"\s+", " ", e["text"]).strip()} for e in p.found]
+
+
+_ELEMENT = StructType([StructField("tag", StringType()), StructField("id", StringType()), StructField("classes", ArrayType(StringType())), StructField("text", StringType()), StructField("parents", ArrayType(StringType()))])
+
+
+@F.pandas_udf(ArrayType(_ELEMENT))
+def elements(markup: pd.Series) -> pd.Series:
+    """The elements of HTML in document order, with what selectors ask for: tag, id, classes, text, and the tags around them."""
+    return pd.Series([_elements(m) if isinstance(m, str) else None for m in markup], dtype=object)
+
+
+def selected(markup: Column, tag: str | None = None, of_class: str | None = None, within: str | None = None) -> Column:
+    """Texts of the elements of a tag, of a class, and within another tag, as far as named, in document order."""
+    def ok(e: Column) -> Column:
+        tests = [F.lit(True)] + ([e["tag"] == tag] if tag else []) + ([F.array_contains(e["classes"], of_class)] if of_class else []) + ([F.array_contains(e["parents"], within)] if within else [])
+        return reduce(lambda a, b: a & b, tests)
+
+    return F.transform(F.filter(elements(markup), ok), lambda e: e["text"])
+
+
 def strip_tags(c: Column) -> Column:
     """Tags removed by pattern, entities kept; see ``unescape``."""
     return F.regexp_replace(c, r"<[^>]*>", "")

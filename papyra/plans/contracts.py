@@ -242,6 +242,17 @@ def duplicate_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return got.where("n > 1").select("category", "number", "n", F.array_join("members", "|").alias("members"), F.array_join("pages", ",").alias("pages"))
 
 
+@query("""select 'source_blocks' as tab, id as key, count(*) as versions from (select distinct id, captured_at, text, role, page, question_id from source_blocks) group by id having count(*) > 1 union all select 'questions', id, count(*) from (select distinct id, stem, subquestions_json, context_json from questions) group by id having count(*) > 1
+ union all select 'orders', cast(o_custkey as varchar), count(*) from (select distinct o_custkey, o_orderpriority, o_orderstatus from orders) group by o_custkey having count(*) > 1""")
+def conflicting_copies(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys whose rows are no copies of one another: none in the corpus tables, many where a key names several rows (customers of orders)."""
+    out = None
+    for t, k, body in (("source_blocks", "id", ["captured_at", "text", "role", "page", "question_id"]), ("questions", "id", ["stem", "subquestions_json", "context_json"]), ("orders", "o_custkey", ["o_orderpriority", "o_orderstatus"])):
+        part = relate.conflicts(table(spark, sf, t), k, body).select(F.lit(t).alias("tab"), F.col(k).cast("string").alias("key"), "versions")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("select p.id, p.record_count, count(q.id) as records from p left join q on q.paper_id = p.id and q.in_bank = 1 group by p.id, p.record_count having p.record_count <> count(q.id)", "pq")
 def count_guard(spark: SparkSession, sf: str) -> DataFrame:
     """Papers that announce more records than the bank returns; ``guarded_counts`` fails on them."""

@@ -45,11 +45,13 @@ class Registry:
 def current(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A corpus table without repeated rows; of late versions the last.
 
-    Columns that a query does not use are pruned down to the scan.
+    Rows of one key are copies but for their arrival time (``conflicting_copies`` lists keys for which
+    that does not hold), so one row a key is taken, by key alone: columns that a query does not use are
+    pruned down to the scan and never shuffled.
     """
     df = table(spark, sf, name)
     if name in ("papers", "source_blocks"):
         return latest(df, ["id"], ["ingested_at"], same_ties=True)
     if name == "translations":
         return latest(df, ["path", "paragraph_id", "source_hash"], ["translated_at"], same_ties=True)
-    return df.distinct()
+    return df.dropDuplicates(["question_id" if name == "answers" else "id"])

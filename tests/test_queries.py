@@ -7,9 +7,9 @@ import pytest
 from compare import connect, difference
 from conftest import SF
 
-from papyra.plans import contracts, nested_packed, relational, sequences, texts, views
+from papyra.plans import contracts, nested_packed, relational, sequences, storage, texts, views
 
-MODULES = [relational, views, contracts, sequences, texts, nested_packed]
+MODULES = [relational, views, contracts, sequences, texts, storage, nested_packed]
 QUERIES = {n: f for m in MODULES for n, f in m.QUERIES.items()}
 SQL = {n: q for m in MODULES for n, q in m.SQL.items()}
 
