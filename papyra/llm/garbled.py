@@ -115,6 +115,8 @@ _UTF8_RUN = re.compile(rb"(?:[\xe0-\xef][\x80-\xbf]{2}){2,}")  # of three bytes
 def _within(stretch: str) -> tuple[str, int]:
     """(the stretch with the UTF-8 sequences undone that were read as GBK between characters that were not, their runs)."""
     raw = stretch.encode("gb18030", "replace")
+    if not _UTF8_RUN.search(raw):
+        return stretch, 0
     starts = {0: 0}
     at = 0
     for i, c in enumerate(stretch, 1):
@@ -310,13 +312,13 @@ def clean_model(scanned: DataFrame) -> CleanText:
     return CleanText({r["at"]: r["n"] for r in counts if r["kind"] == 0}, {(r["at"] // _KINDS, r["at"] % _KINDS): r["n"] for r in counts if r["kind"] == 1})
 
 
-def posteriors(df: DataFrame, key: str, text: str, source: list[str], rounds: int = 8, weight: float = 2.0, settled: float = 1e-6) -> DataFrame:
+def posteriors(df: DataFrame, key: str, text: str, source: list[str], rounds: int = 8, weight: float = 2.0, settled: float = 0.02) -> DataFrame:
     """(key, source columns, chain, probability): the most probable chain of each record that some chain explains.
 
     ``chain`` is null where the record is more probably clean. Null, empty and ASCII texts are clean
     and give no row; repeated rows count once. Rows of a source without a value form one source.
     ``weight`` is the pull of the whole table's shares on each source's. The rounds end when no share of
-    the whole table moves by more than ``settled``.
+    the whole table moves by more than ``settled`` of itself.
     """
     rows = df.select(F.col(key).alias("_k"), *[F.coalesce(F.col(s), F.lit("")).alias(f"_s{i}") for i, s in enumerate(source)], F.col(text).alias("_text"))
     rows = spread(rows.where(F.length("_text") > 0))
@@ -356,7 +358,7 @@ def posteriors(df: DataFrame, key: str, text: str, source: list[str], rounds: in
         rest = sum(shares.values(), F.lit(0.0))
         local = known.select(*by, *[v.alias(k) for k, v in shares.items()], F.greatest(1 - rest, F.lit(1e-6)).alias("_p"))
         local = cut(local)
-        if max(abs(share[c] - before[c]) for c in columns) < settled:
+        if max(abs(share[c] - before[c]) / share[c] for c in columns) < settled:
             break
     final = seen.join(local, by)
     scores = F.array(*[F.struct((F.col(c) + F.log(F.col(f"_p{i}"))).alias("v"), F.lit(NAMES[i]).alias("chain")) for i, c in enumerate(columns)])
