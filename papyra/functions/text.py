@@ -165,6 +165,10 @@ def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() if isinstance(x, str) and isinstance(y, str) else None for x, y in zip(a, b, strict=True)], dtype=float)
 
 
+# Elements that begin on a line of their own.
+_BLOCKS = ("p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "section")
+
+
 class _Visible(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -175,7 +179,7 @@ class _Visible(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.hidden += tag in ("script", "style", "template")
         self.links += [v for k, v in attrs if k in ("href", "src") and v]
-        if tag in ("p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "section"):
+        if tag in _BLOCKS:
             self.out.append("\n")
 
     def handle_endtag(self, tag: str) -> None:
@@ -211,6 +215,8 @@ class _Elements(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = dict(attrs)
+        if tag in _BLOCKS:
+            self.handle_data(" ")
         self.found.append({"tag": tag, "id": a.get("id"), "classes": (a.get("class") or "").split(), "text": "", "parents": [self.found[i]["tag"] for i in self.open]})
         if tag not in self._EMPTY:
             self.open.append(len(self.found) - 1)

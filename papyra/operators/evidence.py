@@ -27,7 +27,7 @@ def subsequence(earlier: Column, later: Column) -> Column:
     return F.forall(at, lambda i: i > 0) & (at == F.array_sort(at))
 
 
-def printed_questions(blocks: DataFrame, by: str, order: list[str]) -> DataFrame:
+def printed_questions(blocks: DataFrame, by: str, order: list[str], chunk: Column | None = None) -> DataFrame:
     """(by, part, number, stem, options, blocks): runs of blocks, each begun by a numbered stem, as question records.
 
     ``blocks`` holds (id, role, text). What stands before a paper's first numbered stem belongs to no
@@ -37,7 +37,7 @@ def printed_questions(blocks: DataFrame, by: str, order: list[str]) -> DataFrame
     from papyra.operators.sequence import groups_by_gap
 
     starts = (F.col("role") == "stem") & F.col("text").rlike(r"\A[0-9]+\. ")
-    runs = groups_by_gap(blocks.select("id", by, *[c for c in order if c != "id"], "role", "text"), [by], order, F.coalesce(starts, F.lit(False))).where("part > 0")
+    runs = groups_by_gap(blocks.select("id", by, *[c for c in order if c != "id"], "role", "text"), [by], order, F.coalesce(starts, F.lit(False)), chunk=chunk).where("part > 0")
     first = F.min_by(F.when(starts, F.col("text")), F.struct(*order))
     texts = F.array_join(in_order(order, F.when(F.col("role") == "option", F.col("text"))), " ")
     per = runs.groupBy(by, "part").agg(first.alias("_t"), texts.alias("_o"), F.count("*").alias("blocks"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,10 +25,49 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, value: str,
     return out.select(*left.columns, F.col("_found.v").alias(f"as_of_{value}"))
 
 
-def carry_forward(df: DataFrame, by: list[str], order: list[str], when: Column, value: str, out: str) -> DataFrame:
-    """``out``: ``value`` of the last row so far where ``when`` held."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.last(F.when(when, F.col(value)), ignorenulls=True).over(w))
+# Operators over a whole group take ``chunk``, a column that never falls along the order (say, the ordinal
+# divided by 100,000): rows are then sorted within chunks only, and what passes from one chunk to the next
+# goes through a table of one row a chunk, so a group that holds a third of all rows is many tasks.
+
+
+def _before_chunk(ends: DataFrame, by: list[str], value: str, whole: str) -> DataFrame:
+    """(by, _c, _in): for each chunk what the chunks before it hand on: the last non-null ``value``, or with ``whole`` ``sum`` their sum."""
+    w = Window.partitionBy(*by).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    handed = F.coalesce(F.sum(value).over(w), F.lit(0)) if whole == "sum" else F.last(value, ignorenulls=True).over(w)
+    return ends.select(*by, "_c", handed.alias("_in"))
+
+
+def _joined(rows: DataFrame, handed: DataFrame, by: list[str]) -> DataFrame:
+    """Rows with what their chunk is handed; null groups are groups."""
+    renamed = handed.select(*[F.col(c).alias(f"_j_{c}") for c in [*by, "_c"]], "_in")
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_j_{c}")) for c in [*by, "_c"]])
+    return rows.join(renamed, on, "left").drop(*[f"_j_{c}" for c in [*by, "_c"]])
+
+
+def carry_forward(df: DataFrame, by: list[str], order: list[str], when: Column, value: str, out: str, chunk: Column | None = None) -> DataFrame:
+    """``out``: ``value`` of the last row so far where ``when`` held; null before the first."""
+    marked = df.withColumn("_m", F.when(when, F.col(value)))
+    if chunk is None:
+        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return marked.withColumn(out, F.last("_m", ignorenulls=True).over(w)).drop("_m")
+    rows = marked.withColumn("_c", chunk)
+    w = Window.partitionBy(*by, "_c").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.groupBy(*by, "_c").agg(F.max_by("_m", F.when(F.col("_m").isNotNull(), F.struct(*order))).alias("_e"))
+    handed = _before_chunk(ends, by, "_e", "last")
+    return _joined(rows.withColumn("_l", F.last("_m", ignorenulls=True).over(w)), handed, by).withColumn(out, F.coalesce("_l", "_in")).drop("_m", "_l", "_c", "_in")
+
+
+def previous(df: DataFrame, by: list[str], order: list[str], columns: list[str], chunk: Column | None = None, prefix: str = "before_") -> DataFrame:
+    """Add ``before_*``: the columns of the row before; null at the first."""
+    taken = F.struct(*columns)
+    if chunk is None:
+        rows = df.withColumn("_b", F.lag(taken).over(Window.partitionBy(*by).orderBy(*order)))
+        return rows.select(*df.columns, *[F.col(f"_b.{c}").alias(prefix + c) for c in columns])
+    rows = df.withColumn("_c", chunk)
+    w = Window.partitionBy(*by, "_c").orderBy(*order)
+    ends = rows.groupBy(*by, "_c").agg(F.max_by(taken, F.struct(*order)).alias("_e"))
+    out = _joined(rows.withColumn("_b", F.lag(taken).over(w)), _before_chunk(ends, by, "_e", "last"), by)
+    return out.withColumn("_b", F.coalesce("_b", "_in")).select(*df.columns, *[F.col(f"_b.{c}").alias(prefix + c) for c in columns])
 
 
 def islands(df: DataFrame, by: list[str], order: list[str], flag: Column, least: int, size: Column | None = None, least_size: float = 0) -> DataFrame:
@@ -47,10 +88,15 @@ def ordinals(df: DataFrame, by: list[str], order: list[str], out: str = "ordinal
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
-def groups_by_gap(df: DataFrame, by: list[str], order: list[str], gap: Column, out: str = "part") -> DataFrame:
-    """``out``: number of the part, a new one starting where ``gap`` holds (it may use ``lag``)."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("_gap", gap).withColumn(out, F.sum(F.when(F.col("_gap"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_gap")
+def groups_by_gap(df: DataFrame, by: list[str], order: list[str], gap: Column, out: str = "part", chunk: Column | None = None) -> DataFrame:
+    """``out``: number of the part, a new one starting where ``gap`` holds. Without ``chunk`` the gap may use ``lag``; with it, ``previous``."""
+    if chunk is None:
+        w = Window.partitionBy(*by).orderBy(*order)
+        return df.withColumn("_gap", gap).withColumn(out, F.sum(F.when(F.col("_gap"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_gap")
+    rows = df.withColumn("_c", chunk).withColumn("_gap", F.when(gap, 1).otherwise(0))
+    w = Window.partitionBy(*by, "_c").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    handed = _before_chunk(rows.groupBy(*by, "_c").agg(F.sum("_gap").alias("_e")), by, "_e", "sum")
+    return _joined(rows.withColumn("_s", F.sum("_gap").over(w)), handed, by).withColumn(out, F.col("_s") + F.coalesce("_in", F.lit(0))).drop("_gap", "_s", "_c", "_in")
 
 
 def running_maxima(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:

@@ -21,7 +21,7 @@ query = Registry()
  select paper_id, part, min(case when role = 'stem' and regexp_matches(text, '^[0-9]+\\. ') then regexp_extract(text, '^([0-9]+)\\. ', 1) end) as number, min(case when role = 'stem' and regexp_matches(text, '^[0-9]+\\. ') then regexp_replace(text, '^[0-9]+\\. ', '') end) as stem,
  string_agg(text, ' ' order by ordinal, id) filter (where role = 'option') as options, count(*) as blocks from m where part > 0 group by paper_id, part""", "b")
 def printed_questions(spark: SparkSession, sf: str) -> DataFrame:
-    return evidence.printed_questions(current(spark, sf, "source_blocks"), "paper_id", ["ordinal", "id"])
+    return evidence.printed_questions(current(spark, sf, "source_blocks"), "paper_id", ["ordinal", "id"], F.floor(F.col("ordinal") / 100_000))
 
 
 _LETTERS = "regexp_replace(upper(a.value), '[\\s,，、;；/|.]+', '', 'g')"

@@ -13,6 +13,8 @@ from papyra.session import table
 from papyra.streaming.incremental import accepted, pending
 
 query = Registry()
+#: Blocks of one paper that are ordered in one task; a paper holds a tenth of all, so its order is made by parts.
+CHUNK = 100_000
 
 
 # As-of, carry-forward, islands, gaps
@@ -37,7 +39,7 @@ def nearest_click_with_tolerance(spark: SparkSession, sf: str) -> DataFrame:
 @query("select id, last_value(case when role = 'heading' then id end ignore nulls) over (partition by paper_id order by ordinal, id rows between unbounded preceding and current row) as section from b", "b")
 def section_of_block(spark: SparkSession, sf: str) -> DataFrame:
     b = current(spark, sf, "source_blocks").select("id", "paper_id", "ordinal", "role")
-    return sequence.carry_forward(b, ["paper_id"], ["ordinal", "id"], F.col("role") == "heading", "id", "section").select("id", "section")
+    return sequence.carry_forward(b, ["paper_id"], ["ordinal", "id"], F.col("role") == "heading", "id", "section", F.floor(F.col("ordinal") / CHUNK)).select("id", "section")
 
 
 @query("""with x as (select user_id, value, event_type = 'error' as f, row_number() over (partition by user_id order by ts, event_id) as n, sum(case when event_type = 'error' then 0 else 1 end) over (partition by user_id order by ts, event_id) as g from events)
@@ -85,7 +87,7 @@ def sessions_by_gap(spark: SparkSession, sf: str) -> DataFrame:
  select paper_id, g as part, string_agg(text, ' ' order by ordinal, id) as joined from x where g > 0 and text is not null group by paper_id, g""", "b")
 def marker_groups(spark: SparkSession, sf: str) -> DataFrame:
     b = current(spark, sf, "source_blocks").where("role <> 'header'").select("id", "paper_id", "ordinal", "role", "text")
-    parts = sequence.groups_by_gap(b, ["paper_id"], ["ordinal", "id"], F.col("role") == "stem").where("part > 0 and text is not null")
+    parts = sequence.groups_by_gap(b, ["paper_id"], ["ordinal", "id"], F.col("role") == "stem", chunk=F.floor(F.col("ordinal") / CHUNK)).where("part > 0 and text is not null")
     joined = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "id", "text"))), lambda x: x["text"])
     return parts.groupBy("paper_id", "part").agg(F.array_join(joined, " ").alias("joined"))
 
@@ -93,8 +95,8 @@ def marker_groups(spark: SparkSession, sf: str) -> DataFrame:
 @query("select id, lag(role) over (partition by paper_id order by ordinal, id) as before, coalesce(lag(page) over (partition by paper_id order by ordinal, id) is distinct from page, true) as new_page from b", "b")
 def previous_row(spark: SparkSession, sf: str) -> DataFrame:
     b = current(spark, sf, "source_blocks").select("id", "paper_id", "ordinal", "role", "page")
-    w = Window.partitionBy("paper_id").orderBy("ordinal", "id")
-    return b.select("id", F.lag("role").over(w).alias("before"), (~F.lag("page").over(w).eqNullSafe(F.col("page"))).alias("new_page"))
+    x = sequence.previous(b, ["paper_id"], ["ordinal", "id"], ["role", "page"], F.floor(F.col("ordinal") / CHUNK))
+    return x.select("id", F.col("before_role").alias("before"), (~F.col("before_page").eqNullSafe(F.col("page"))).alias("new_page"))
 
 
 @query("""with x as (select user_id, event_type, event_id, ts, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as n from events)

@@ -243,11 +243,13 @@ def rebuilt_contexts(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("id").agg(F.sha2(F.array_join(parts, "\n"), 256).alias("digest"), F.count("_b").alias("found"), F.count("*").alias("listed"), ordered.alias("in_order"), F.bool_or("_again").alias("reused"))
 
 
-@query("select paper_id, sha256(string_agg(coalesce(text, '') || coalesce(status, ''), '|' order by ordinal, id)) as revision from b group by paper_id", "b")
+@query("""with p2 as (select paper_id, source_page_index as page, sha256(string_agg(coalesce(text, '') || coalesce(status, ''), '|' order by ordinal, id)) as h from b group by all) select paper_id, sha256(string_agg(h, '|' order by page nulls first)) as revision from p2 group by paper_id""", "b")
 def composite_revisions(spark: SparkSession, sf: str) -> DataFrame:
-    b = current(spark, sf, "source_blocks").groupBy("paper_id")
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "id", F.concat(F.coalesce("text", F.lit("")), F.coalesce("status", F.lit(""))).alias("t")))), lambda x: x["t"])
-    return b.agg(F.sha2(F.array_join(parts, "|"), 256).alias("revision"))
+    """A digest for each paper over the digests of its pages, so no paper's whole text meets in one place."""
+    ordered = lambda order, v: F.transform(F.array_sort(F.collect_list(F.struct(*order, v.alias("t")))), lambda x: x["t"])
+    b = current(spark, sf, "source_blocks").withColumn("_t", F.concat(F.coalesce("text", F.lit("")), F.coalesce("status", F.lit(""))))
+    pages = b.groupBy("paper_id", "source_page_index").agg(F.sha2(F.array_join(ordered(["ordinal", "id"], F.col("_t")), "|"), 256).alias("_h"))
+    return pages.groupBy("paper_id").agg(F.sha2(F.array_join(ordered(["source_page_index"], F.col("_h")), "|"), 256).alias("revision"))
 
 
 @query("""select a.question_id, coalesce(k.letters, a.value) as value from a left join (select question_id, min(left(label, 1)) as letters from o where is_correct = 1 group by question_id having count(*) = 1) k on k.question_id = a.question_id""", "ao")
