@@ -284,10 +284,12 @@ Edits = tuple[tuple[int, str, str], ...]
 
 
 class Forms:
-    """Known words that edits by the given (read, printed) rules reach."""
+    """Known words that edits by the given (read, printed) rules reach, also where a letter of what was read is itself misread."""
 
     def __init__(self, counts: Counts, rules: list[tuple[str, str]]):
-        self.counts, self.rules = counts, sorted(set(rules))
+        single = [(r, p) for r, p in rules if len(r) == len(p) == 1]
+        twice = [(read[:i] + r + read[i + 1 :], printed) for read, printed in rules if len(read) > 1 for i in range(len(read)) for r, p in single if p == read[i]]
+        self.counts, self.rules = counts, sorted({(r, p) for r, p in [*rules, *twice] if r != p})
         self.at: dict[str, list[tuple[str, str]]] = defaultdict(list)
         for read, printed in self.rules:
             self.at[read[0]].append((read, printed))
@@ -379,6 +381,8 @@ class Editor:
                 score = self.edit.score(edit_features(low, form, edits, now, self.counts.word(form)))
                 if score > best:
                     best, out = score, _with_case(w, edits)
+            if out != w and self.counts.word(out) > now:  # the form may itself be a common misreading
+                out = self._word(out)
         if len(self._words) > 200_000:
             self._words.clear()
         self._words[w] = out
@@ -605,17 +609,14 @@ def fit(texts: list[str], headers: list[str], counts: Counts, recurs: dict[int,
 FOUND = "repaired string, furniture boolean, split_word boolean, misread boolean"
 
 
-def read_scans(df: DataFrame, keys: list[str], text: str, group: str, headers: DataFrame | None = None) -> DataFrame:
-    """Every non-empty text repaired, with what was found in it.
+def _rows(df: DataFrame, keys: list[str], text: str, group: str) -> DataFrame:
+    return spread(df.select(*keys, F.coalesce(F.col(group), F.lit("")).alias("_group"), F.col(text).alias("_text")).where(F.col("_text").rlike(r"\S")))
 
-    ``group`` names the paper a text belongs to (lines that recur over papers are running headers);
-    ``headers`` holds known header lines in its first column, used for training only. Null and blank
-    texts give no rows; repeated rows give repeated rows; texts without noise come back unchanged.
-    """
-    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    rows = spread(df.select(*keys, F.coalesce(F.col(group), F.lit("")).alias("_group"), F.col(text).alias("_text")).where(F.col("_text").rlike(r"\S")))
+
+def trained(rows: DataFrame, headers: DataFrame | None = None) -> Editor:
+    """The editor for (_group, _text): counts over all rows, stages trained on a bounded sample of clean ones."""
     (counts, words), recurs = tally(rows.select("_text")), recurring_lines(rows)
-    clean = rows.where((~F.col("_text").contains("\n")) & F.length("_text").between(40, 600) & ~F.col("_text").rlike("[\x80-\x9f­​-‏﻿�]"))
+    clean = rows.where((~F.col("_text").contains("\n")) & F.length("_text").between(40, 600) & ~F.col("_text").rlike("[\x80-\x9f\u00ad\u200b-\u200f\ufeff\ufffd]"))
     n = clean.count()
     rate = min(1.0, TRAIN_TEXTS / max(1, n))
     sample = clean.where(F.pmod(F.xxhash64("_text"), F.lit(1 << 20)) < rate * float(1 << 20)).select("_text").limit(2 * TRAIN_TEXTS).collect()
@@ -623,9 +624,20 @@ def read_scans(df: DataFrame, keys: list[str], text: str, group: str, headers: D
     if headers is not None:
         first = headers.columns[0]
         lines = headers.select(F.trim(F.regexp_replace(F.col(first), r"\s*\d+\s*$", "")).alias("_l")).where("_l is not null and _l <> ''")
-        known = [r["_l"] for r in lines.orderBy(F.xxhash64("_l")).limit(TRAIN_HEADERS).collect()]
-    editor = fit(sorted({r["_text"] for r in sample}), sorted(set(known)), counts, recurs, [*MISREAD, *MERGED, *learned(words)])
-    held = df.sparkSession.sparkContext.broadcast(editor)
+        known = [r["_l"] for r in lines.distinct().orderBy(F.xxhash64("_l")).limit(TRAIN_HEADERS).collect()]
+    return fit(sorted({r["_text"] for r in sample}), sorted(known), counts, recurs, [*MISREAD, *MERGED, *learned(words)])
+
+
+def read_scans(df: DataFrame, keys: list[str], text: str, group: str, headers: DataFrame | None = None) -> DataFrame:
+    """Every non-empty text repaired, with what was found in it.
+
+    ``group`` names the paper a text belongs to (lines that recur over papers are running headers);
+    ``headers`` holds known header lines in its first column, used for training only. Null and blank
+    texts give no rows; repeated rows give repeated rows; texts without noise come back unchanged.
+    """
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    rows = _rows(df, keys, text, group)
+    held = df.sparkSession.sparkContext.broadcast(trained(rows, headers))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
