@@ -582,12 +582,12 @@ def fit(texts: list[str], headers: list[str], counts: Counts, recurs: dict[int,
             edit += [(f, False) for f in stay] * weight
         else:
             doubtful += stay
-        for _ in range(6 * weight if len(w) > 3 and now > 1 else 0):
+        for _ in range(6 * weight if len(w) != 3 and now > 1 else 0):  # words of one or two letters lie too close to tell
             if (bad := misread(w, more, out.forms.rules)) != w:
                 # As rare among its kind as misreadings are, at any size of the table.
                 seen = max(counts.word(bad), round(math.log2(1 + max(1.0, 2.0 ** (now - more.uniform(3, 10))))))
                 if seen < now:  # else another word
-                    edit += [(edit_features(bad, form, edits, seen, counts.word(form)), form == w) for form, edits in out.forms.of(bad).items()]
+                    edit += [(edit_features(bad, form, edits, seen, counts.word(form)), form == w and len(w) > 3) for form, edits in out.forms.of(bad).items()]
     # Line breaks that stay: lists, code and separate paragraphs built from the same texts.
     for i in range(0, len(texts) - 2, 2):
         a, b = texts[i][:120], texts[i + 1][:120]
