@@ -330,6 +330,43 @@ def kept_results(spark: SparkSession, sf: str) -> DataFrame:
     return t.join(m, "source_hash", "left").select("path", "paragraph_id", F.col("_m").isNotNull().alias("known"), (F.col("_m").isNotNull() & (F.col("_m") == F.col("_h"))).alias("kept"))
 
 
+@query("""with x as (select path, paragraph_id, source_hash, translation as first, provider, case when translation is null or trim(translation) = '' then 'empty' when not regexp_matches(translation, '[\\x{3400}-\\x{9fff}]') then 'no ideographs' when contains(translation, '⟦') then 'leftover marker' end as why from t),
+ m as (select path, paragraph_id, max(translation) as again from t where provider = 'manual' and regexp_matches(translation, '[\\x{3400}-\\x{9fff}]') and not contains(translation, '⟦') group by all)
+ select x.path, x.paragraph_id, case when why is null then first else again end as published, case when why is null then 0 when again is not null then 1 else 2 end as tries, case when why is not null and again is null then why end as quarantined from x left join m on m.path = x.path and m.paragraph_id = x.paragraph_id""", "t")
+def partial_success(spark: SparkSession, sf: str) -> DataFrame:
+    """Good results kept, bad ones tried once more alone (here: the paragraph's manual result), the rest put in quarantine with the first reason."""
+    from papyra.streaming.incremental import accepted
+
+    t = current(spark, sf, "translations").select("path", "paragraph_id", "source_hash", "translation", "provider")
+    good, bad = accepted(t, "source_hash", "translation")
+    again = accepted(t.where("provider = 'manual'"), "source_hash", "translation")[0].groupBy("path", "paragraph_id").agg(F.max("translation").alias("_again"))
+    retried = bad.join(again, ["path", "paragraph_id"], "left")
+    out = retried.select("path", "paragraph_id", F.col("_again").alias("published"), F.when(F.col("_again").isNotNull(), 1).otherwise(2).alias("tries"), F.when(F.col("_again").isNull(), F.col("reason")).alias("quarantined"))
+    return good.select("path", "paragraph_id", F.col("translation").alias("published"), F.lit(0).alias("tries"), F.lit(None).cast("string").alias("quarantined")).unionByName(out)
+
+
+@query("""with p2 as (select doc_id, unnest(list_filter(list_transform(regexp_split_to_array(text, '\\n\\s*\\n'), lambda x: trim(x, ' ')), lambda x: x <> '')) as t, generate_subscripts(list_filter(list_transform(regexp_split_to_array(text, '\\n\\s*\\n'), lambda x: trim(x, ' ')), lambda x: x <> ''), 1) as n from documents where text is not null)
+ select doc_id, n, '$.paragraphs[' || (n - 1) || ']' as path, sha256(t) as source_hash, case when length(t) < 40 then 'short' when not regexp_matches(t, '[A-Za-z]{3}') then 'no words' else 'eligible' end as state from p2""")
+def paragraph_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Every paragraph of every document with its place, the digest of its source and whether it is to be worked on."""
+    d = table(spark, sf, "documents").where("text is not null").select("doc_id", F.posexplode(fx.paragraphs(F.col("text"))).alias("_p", "_t"))
+    state = F.when(F.length("_t") < 40, "short").when(~F.col("_t").rlike("[A-Za-z]{3}"), "no words").otherwise("eligible")
+    return d.select("doc_id", (F.col("_p") + 1).alias("n"), F.concat(F.lit("$.paragraphs["), F.col("_p").cast("string"), F.lit("]")).alias("path"), F.sha2("_t", 256).alias("source_hash"), state.alias("state"))
+
+
+@query("""with e as (select s, l_orderkey, l_linenumber as n, 1 + sum(case when l_linenumber <= p then 1 else 0 end) over (partition by s order by l_orderkey, l_linenumber) as form from (select l_orderkey, l_linenumber, o_custkey as s, lag(l_linenumber) over (partition by o_custkey order by l_orderkey, l_linenumber) as p from (select distinct l_orderkey, l_linenumber from lineitem) join orders on o_orderkey = l_orderkey)),
+ m as (select s, n, count(*) as k, min(l_orderkey) as target from e where form <= 2 group by all)
+ select case when coalesce(m.k, 0) = 0 then 'unresolved' when m.k = 1 then 'resolved' else 'ambiguous' end as outcome, case when m.k = 1 then m.target end as target, count(*) as n from e left join m on m.s = e.s and m.n = e.n where e.form > 2 group by all""")
+def form_references(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers of later forms that refer to the same number in the first two: resolved only where one of them has it."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    rows = li.join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("s")), "l_orderkey")
+    again = F.col("l_linenumber") <= F.lag("l_linenumber").over(Window.partitionBy("s").orderBy("l_orderkey", "l_linenumber"))
+    e = sequence.groups_by_gap(rows, ["s"], ["l_orderkey", "l_linenumber"], F.coalesce(again, F.lit(False))).withColumn("_k", F.concat_ws("#", "s", "l_linenumber"))
+    found = relate.classified_lookup(e.where("part > 1").withColumn("_r", F.struct("l_orderkey", "l_linenumber")), "_r", "_k", e.where("part <= 1"), "_k", "l_orderkey")
+    return found.groupBy("outcome", "target").agg(F.count("*").alias("n"))
+
+
 # Texts
 
 
