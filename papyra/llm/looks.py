@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from papyra.llm.glyphs import consistent
+from papyra.session import cut
 
 
 @F.arrow_udf(StringType())
@@ -35,6 +36,7 @@ def look_classes(df: DataFrame, keys: list[str], id_col: str, text: str) -> Data
     rows = rows.withColumn("_form", consistent_text("_text"))
     digest = lambda c: F.struct(F.xxhash64(c).alias("a"), F.hash(c).alias("b"), F.length(c).alias("n"))
     rows = rows.select(*keys, digest(F.col("_form")).alias("class"), digest(F.col("_text")).alias("variant"), "id").distinct()
+    rows = cut(rows)  # the forms are made once, for the sizes and for the members
     group = [*keys, "class"]
     sizes = rows.groupBy(*group, "variant").agg(F.count("*").alias("_own"))
     whole = sizes.groupBy(*group).agg(F.count("*").alias("variants"), F.sum("_own").alias("members")).where("variants > 1")
