@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A printed key of some question: an optional star, its number, a stop, and the word for "answer" in brackets.
+# Fixed value: a printed key of some question: an optional star, its number, a stop, and the word for "answer" in brackets.
 KEY_MARK = r"(?<![0-9])(\*?)\s*([0-9]{1,3})\s*[.．、]\s*【(?:参考)?答案】"
 
 
